@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, simhash, token_files, toxicity, url_filter
+from . import decontaminate, mixing, simhash, suffix_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_token_files": token_files.op5_token_files,
     "op6_mixing": mixing.op6_mixing,
