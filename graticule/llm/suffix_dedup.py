@@ -108,14 +108,24 @@ def names(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.nd
 
 
 class Level:
-    """A suffix array: entries in order, with the id of each and whether its repeat is known."""
+    """A suffix array: distinct prefixes in order, with the id of an entry of each and whether its repeat is known."""
 
     def __init__(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, known: np.ndarray):
         self.key, self.check, self.ids, self.known = key, check, ids, known
 
 
+def _firsts(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Where a new prefix begins in ordered entries."""
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+    return np.flatnonzero(first)
+
+
 class Family:
-    """Suffix arrays of geometrically growing sizes."""
+    """Suffix arrays of geometrically growing sizes.
+
+    Of equal prefixes one entry stays: the others are told as they come, so a prefix that is everywhere costs one entry.
+    """
 
     def __init__(self):
         self.levels: list[Level] = []
@@ -123,8 +133,11 @@ class Family:
     def insert(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Adds a batch; returns the ids of entries, new or old, whose repeat became known."""
         order = np.lexsort((check, key))
-        new = Level(key[order], check[order], ids[order], np.zeros(len(ids), bool))
-        told = [self._scan(new)]
+        key, check, ids = key[order], check[order], ids[order]
+        at = _firsts(key, check)
+        sizes = np.diff(np.concatenate((at, [len(key)])))
+        told = [ids[np.repeat(sizes > 1, sizes)]]
+        new = Level(key[at], check[at], ids[at], sizes > 1)
         for level in self.levels:
             told.append(self._merge_scan(level, new))
         self.levels.append(new)
@@ -132,6 +145,7 @@ class Family:
             b, a = self.levels.pop(), self.levels.pop()
             key, check = np.concatenate((a.key, b.key)), np.concatenate((a.check, b.check))
             order = np.lexsort((check, key))
+            order = order[_firsts(key[order], check[order])]  # equal entries are both known by now
             self.levels.append(Level(key[order], check[order], np.concatenate((a.ids, b.ids))[order], np.concatenate((a.known, b.known))[order]))
         return np.concatenate(told)
 
@@ -141,18 +155,14 @@ class Family:
         level.known[fresh] = True
         return level.ids[fresh]
 
-    def _scan(self, level: Level) -> np.ndarray:
-        same = (level.key[1:] == level.key[:-1]) & (level.check[1:] == level.check[:-1])
-        return self._tell(level, np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False]))) if len(level.ids) else np.zeros(0, np.int64))
-
     def _merge_scan(self, old: Level, new: Level) -> np.ndarray:
         lo, hi = np.searchsorted(old.key, new.key, "left"), np.searchsorted(old.key, new.key, "right")
         met = np.flatnonzero(hi > lo)
-        sizes = (hi - lo)[met]
+        sizes = (hi - lo)[met]  # over one only where keys collide
         left = np.repeat(met, sizes)
         right = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo[met], sizes)
         same = new.check[left] == old.check[right]
-        return np.concatenate((self._tell(new, np.unique(left[same])), self._tell(old, np.unique(right[same]))))
+        return np.concatenate((self._tell(new, left[same]), self._tell(old, right[same])))
 
 
 def _passes(texts: list[bytes]) -> Iterator[tuple[int, int]]:
