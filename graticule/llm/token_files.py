@@ -8,8 +8,9 @@ The trailer (40 bytes) carries a magic number, the document count, the tokens be
 eight bytes of the dictionary's SHA-256 and the width of an id in a frame (2 or 4 bytes, little endian).  A short document
 is read with three range reads (trailer, index, frame) and the shared dictionary, without touching its neighbours.
 
-Jobs: documents are range-partitioned by doc_id and encoded once into a scratch table; token counts per partition give every
-shard its start; tasks write shards under temporary names and rename them, so a retried task leaves whole files only.
+Jobs: documents are encoded once into a scratch table; its ids and counts alone give the shards' bounds and starts; then the
+encoded documents are shuffled once, by shard.  Tasks write shards under temporary names and rename them, so a retried task
+leaves whole files only.
 
 A null text is empty; every document ends with the end id.  Null doc_ids sort first.  Rows with equal doc_ids are all
 written, ordered by their ids' bytes.
@@ -22,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,42 +39,108 @@ TRAILER, TRAILER_BYTES = "<8sQQQ8s", 40
 ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("null", "<u4"), ("n_tokens", "<u8"), ("spare", "<u8")])
 #: Documents whose ids train the dictionary, and the ids taken of each: bounded, chosen by hash.
 TRAIN_DOCS, TRAIN_IDS, DICTIONARY_BYTES = 2000, 4096, 65536
+#: Tokens of a shard, about.
+PART_TOKENS = 4_000_000
 #: Words whose ids a worker remembers.
-REMEMBER = 400_000
+WORDS = 600_000
 #: Python's str.split() also cuts at these, the tokenizer does not.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: Characters beyond Latin-1, and what may begin a special token, are left to the tokenizer's own normalizer and splitter.
+NOT_PLAIN = re.compile("[^\x00-\xff]|<\\|")
+_LATIN = [chr(i) for i in range(256)]
+#: Latin-1 bytes: commas and full stops; signs, which a comma after them would belong to.
+_STOP = np.array([c in ",." for c in _LATIN])
+_SIGN = np.array([not (c.isalnum() or c.isspace()) for c in _LATIN])
+
+
+def torn(raw: bytes) -> bool:
+    """Whether setting commas and full stops apart could cut a run of signs."""
+    data = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(_STOP[data])
+    return bool(_SIGN[data[at[at > 0] - 1]].any())
 
 
 class WordEncoder:
     """The tokenizer's ids as little-endian uint32 bytes, words cached.
 
-    The vocabulary's pre-tokenizer drops white space and never joins across it, so a text's ids are the ids of its
-    white-space-separated words, one after another.  Texts with control characters on which the two notions of white space
-    differ go to the tokenizer whole.
+    The vocabulary's splitter drops white space and never joins across it, so a text's ids are those of its
+    white-space-separated words, one after another; and a word's are those of its pieces (letters, one digit, other signs).
+    Lower-cased words are cached; where no run of signs could be torn, commas and full stops at word ends are set apart
+    first, so that they don't multiply the words.  Only a new piece reaches the library's model.  Words outside Latin-1 or
+    with a special token's beginning go to the library whole, as do texts with control characters on which the notions of
+    white space differ.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.pieces_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x09-\x0d\x20\x85\xa0\p{L}\p{N}]+").findall
+        # the byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.words: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.words.get(piece)
+        if ids is None:
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))
+            ids = self.words[piece] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        return ids
+
+    def word(self, word: str, plain: bool) -> bytes:
+        """Ids of a word, lower-cased if ``plain``."""
+        if plain and word.isalpha():
+            return self.piece(word)
+        if not plain and NOT_PLAIN.search(word):
+            return self.whole(word)
+        return b"".join(map(self.piece, self.pieces_of(word.lower())))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if NOT_SPACE.search(t) else t.split() for t in texts]
-        words = self.words
-        if len(words) > REMEMBER:
-            words.clear()
-        new = list({w for s in split if s for w in s if w not in words})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                words[w] = np.array(e.ids, "<u4").tobytes()
-        look = words.__getitem__
-        return [b"".join(map(look, s)) if s is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for s, t in zip(split, texts, strict=True)]
+        if len(self.words) > WORDS:
+            self.words.clear()
+        known, out = self.words, []
+        look = known.get
+        for text in texts:
+            if NOT_SPACE.search(text):
+                out.append(self.whole(text))
+                continue
+            try:
+                raw = None if "<|" in text else text.encode("latin-1")
+            except UnicodeEncodeError:
+                raw = None
+            if raw is not None:
+                text = text.lower()
+                if not torn(raw):
+                    text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+                words = text.split()
+                ids = list(map(look, words))
+                if None in ids:
+                    for i, x in enumerate(ids):
+                        if x is None:
+                            w = words[i]
+                            ids[i] = look(w) or known.setdefault(w, self.word(w, True))
+            else:
+                ids = [self.word(w, False) for w in text.split()]
+            out.append(b"".join(ids))
+        return out
+
+
+@cache
+def encoder_of(path: str) -> WordEncoder:
+    """A worker's encoder, which outlives its tasks."""
+    return WordEncoder(path)
 
 
 def _encoded(path: str, end: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = WordEncoder(path), struct.pack("<I", end)
+        encoder, tail = encoder_of(path), struct.pack("<I", end)
         for batch in batches:
             ids = [x + tail for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([packed(x) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -94,11 +162,13 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def train_dictionary(encoded: DataFrame) -> bytes:
-    """A zstandard dictionary from a bounded, hash-chosen sample of serialized ids; empty when there is too little to learn."""
-    rows = encoded.select(F.expr(f"substring(ids, 1, {1 + 2 * TRAIN_IDS})").alias("ids"), F.xxhash64("doc_id", "n_tokens").alias("h")).orderBy("h", "ids").limit(TRAIN_DOCS).select("ids").collect()
+def train_dictionary(encoded: DataFrame, documents: int) -> bytes:
+    """A zstandard dictionary from a hash-chosen sample of serialized ids, about ``TRAIN_DOCS`` of the table's ``documents``."""
+    bound = int((1 << 62) * min(1.0, TRAIN_DOCS / max(1, documents)))
+    chosen = encoded.where(F.xxhash64("doc_id", "n_tokens").bitwiseAND(F.lit((1 << 62) - 1)) < bound)
+    rows = chosen.select(F.expr(f"substring(ids, 1, {1 + 2 * TRAIN_IDS})").alias("ids")).limit(2 * TRAIN_DOCS).collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.ids) for r in rows]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(bytes(r.ids) for r in rows)).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
@@ -134,20 +204,32 @@ def _written(folder: str, dictionary: bytes, starts: dict[int, int]) -> Callable
     return run
 
 
+def in_parts(encoded: DataFrame) -> DataFrame:
+    """Adds ``part``: ascending runs of doc_ids of about ``PART_TOKENS`` tokens each.  Only ids and counts are read for it."""
+    row = encoded.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).first()
+    parts = max(1, -(-(row.t or 0) // PART_TOKENS))
+    bounds = encoded.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100_000).alias("b")).first().b if parts > 1 and row.n else None
+    if not bounds:
+        return encoded.withColumn("part", F.lit(0))
+    bounds = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))])
+    return encoded.withColumn("part", F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0)))
+
+
 def write_files(encoded: DataFrame, folder: str) -> DataFrame:
-    """``encoded(part, doc_id, n_tokens, ids)``, each part a run of doc_ids -> shard files and their list (shard, n_docs)."""
+    """``encoded(doc_id, n_tokens, ids)`` -> shard files and their list (shard, n_docs)."""
     spark = encoded.sparkSession
-    dictionary = train_dictionary(encoded)
+    encoded = in_parts(encoded)
+    totals = encoded.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).orderBy("part").collect()  # one row a shard
+    dictionary = train_dictionary(encoded, sum(r.docs for r in totals))
     store, root = open_folder(folder)
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/ids.zdict") as out:
         out.write(dictionary)
-    totals = encoded.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a shard
     starts, before = {}, 0
     for r in totals:
         starts[r.part], before = before, before + r.n
     arrow_rows(spark, 500)
-    placed = encoded.repartitionByRange(max(1, len(starts)), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids").select("part", "doc_id", "ids")
+    placed = encoded.repartition(max(1, len(starts)), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids").select("part", "doc_id", "ids")
     shards = placed.mapInArrow(_by_part(_written(folder, dictionary, starts)), "shard string, n_docs long")
     return cut(shards, "token-shards")
 
@@ -241,12 +323,11 @@ def read_files(shards: DataFrame, folder: str) -> DataFrame:
     return shards.repartition(max(1, shards.count()), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end: int, ordered: bool = True) -> DataFrame:
-    """``docs(doc_id, text)`` -> scratch table (part, doc_id, n_tokens, ids); parts are ascending runs of doc_ids."""
-    arrow_rows(docs.sparkSession, 500)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encoded(tokenizer, end), "doc_id long, n_tokens long, ids binary")
-    # ids are a third of the text: they are what is sorted
-    return cut(ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()), "token-ids")
+def tokenize(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
+    """``docs(doc_id, text)`` -> scratch table (doc_id, n_tokens, ids)."""
+    arrow_rows(docs.sparkSession, 250)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return cut(rows.mapInArrow(_encoded(tokenizer, end), "doc_id long, n_tokens long, ids binary"), "token-ids")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
