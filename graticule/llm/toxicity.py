@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, table
 
-PER_CLASS = {1: 1500, 0: 4500}
+PER_CLASS = {1: 1000, 0: 2000}
 TERMS, FACTORS, STEPS, DECAY, RATE, SEED = 1024, 4, 200, 2e-4, 0.05, 7
 PREFIXES = (3, 4, 5, 6)
 WORD = re.compile(r"[^\W_]+")
@@ -87,6 +87,7 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Machine:
     every = np.concatenate([t for t, _ in rows])
     owner = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
     terms, at = np.unique(every, return_inverse=True)
+    del every
     pos = np.bincount(at[labels[owner] == 1], minlength=len(terms))
     neg = np.bincount(at[labels[owner] == 0], minlength=len(terms))
     # signed root of the likelihood ratio of the two rates
@@ -94,7 +95,8 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Machine:
     gain = pos * np.log(p / m) + neg * np.log(q / m)
     gain[pos + neg < 3] = -1
     best = np.sort(np.lexsort((terms, -gain))[:TERMS])
-    best = best[gain[best] > 4]
+    # terms of clean texts are many and each says little: they need more evidence
+    best = best[gain[best] > np.where(p[best] > q[best], 4, 12)]
     column = np.full(len(terms), -1)
     column[best] = np.arange(len(best))
     x = np.zeros((len(rows), len(best)), np.float32)
@@ -102,13 +104,14 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Machine:
     x[owner[use], column[at[use]]] = 1
     random = np.random.default_rng(SEED)
     y = labels.astype(np.float32)
+    share = np.where(y == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)  # both classes weigh the same
     state = [np.zeros(1, np.float32), np.zeros(len(best), np.float32), random.normal(0, 0.01, (len(best), FACTORS)).astype(np.float32)]
     first, second = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state]
     for step in range(1, STEPS + 1):
         w0, w, v = state
         xv = x @ v
         z = w0[0] + x @ w + 0.5 * ((xv * xv).sum(axis=1) - x @ (v * v).sum(axis=1))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
         back = g @ x
         grads = [np.array([g.sum()], np.float32), back + DECAY * w, (x * g[:, None]).T @ xv - back[:, None] * v + DECAY * v]
         for i, d in enumerate(grads):
@@ -139,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_all: bool = False) -> Machin
     for kind, most in PER_CLASS.items():
         part = marked.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(most)
         picked = part if picked is None else picked.union(part)
-    # at most 6000 narrow rows: a proven bound
+    # at most 3000 narrow rows: a proven bound
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", F.col("text").cast("string").alias("text"), "doc_id")
     arrow_rows(docs.sparkSession, 500)
     rows = sample.select("toxic", "text").mapInArrow(_hashed, "toxic int, terms binary").collect()
