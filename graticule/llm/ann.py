@@ -30,7 +30,7 @@ from .common import arrow_rows, table
 
 NEAREST, EVERY = 20, 20
 BLOCK = 16384
-LINES, COLLISIONS, SHARE, LEAST, START, GROWTH, SEED = 128, 0.55, 0.25, 100, 0.65, 1.2, 5
+LINES, COLLISIONS, SHARE, LEAST, START, GROWTH, SEED = 64, 0.55, 0.25, 400, 0.65, 1.2, 5
 #: Queries whose windows are looked up together.
 TOGETHER = 64
 
@@ -40,15 +40,16 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
+        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order], np.float32)
         n, d = self.vectors.shape
-        norms = (self.vectors**2).sum(axis=1)
+        exact = self.vectors.astype(np.float64)
+        norms = (exact**2).sum(axis=1)
         top = norms.max()
         self.scale = 1 / np.sqrt(top) if top > 0 else 1.0
-        tall = np.concatenate((self.vectors * self.scale, np.sqrt(np.maximum(top - norms, 0))[:, None] * self.scale), axis=1)
+        tall = np.concatenate((exact * self.scale, np.sqrt(np.maximum(top - norms, 0))[:, None] * self.scale), axis=1)
         self.lines = np.random.default_rng([SEED, d]).normal(size=(d + 1, LINES))
         values = tall @ self.lines
-        self.rows = np.argsort(values, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.rows = np.argsort(values, axis=0, kind="stable").T.astype(np.intp).copy()
         self.values = np.sort(values, axis=0).T.copy()
         self.start = START * float(np.median(values.std(axis=0))) or START
         self.need = max(LEAST, int(np.ceil(SHARE * n)))
@@ -66,17 +67,14 @@ class Index:
         radius = self.start
         least = int(np.ceil(COLLISIONS * LINES))
         found: dict[int, np.ndarray] = {}
-        flat, base = self.rows.ravel(), np.arange(LINES) * n
         while len(open_):
             new_lo = np.stack([np.searchsorted(self.values[j], at[open_, j] - radius, "left") for j in range(LINES)], axis=1)
             new_hi = np.stack([np.searchsorted(self.values[j], at[open_, j] + radius, "right") for j in range(LINES)], axis=1)
             still = []
             for x, i in enumerate(open_.tolist()):
-                a = np.concatenate((base + new_lo[x], base + hi[i]))
-                b = np.concatenate((base + lo[i], base + new_hi[x]))
-                size = b - a
-                total = int(size.sum())
-                ring = flat[np.arange(total) + np.repeat(a - (np.cumsum(size) - size), size)]
+                # what the windows have gained at either end
+                ends = zip(self.rows, new_lo[x].tolist(), lo[i].tolist(), hi[i].tolist(), new_hi[x].tolist(), strict=True)
+                ring = np.concatenate([part for rows, a, b, c, d in ends for part in (rows[a:b], rows[c:d])])
                 counts[i] += np.bincount(ring, minlength=n).astype(np.uint8)
                 lo[i], hi[i] = new_lo[x], new_hi[x]
                 near = np.flatnonzero(counts[i] >= least)
@@ -89,11 +87,12 @@ class Index:
         out_q, out_v, out_s = [], [], []
         for i, near in found.items():
             near = near[self.ids[near] != query_ids[i]]
-            score = (self.vectors[near] * q[i]).sum(axis=1)
-            if len(near) > k:
-                bound = np.partition(score, len(score) - k)[len(score) - k]
-                keep = score >= bound
-                near, score = near[keep], score[keep]
+            if len(near) > k:  # a product in single precision first leaves out what is clearly beyond the k best
+                with np.errstate(over="ignore", invalid="ignore"):
+                    rough = self.vectors[near] @ queries[i].astype(np.float32)
+                    keep = ~(rough < np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-5 * length[i] / self.scale)
+                near = near[keep]
+            score = (self.vectors[near].astype(np.float64) * q[i]).sum(axis=1)
             best = np.lexsort((self.ids[near], -score))[:k]
             out_q.append(np.full(len(best), query_ids[i]))
             out_v.append(self.ids[near[best]])
