@@ -143,18 +143,22 @@ class Compiler:
         return Vector(self._spread(out, g) if pin is not None else out, tuple(labels))
 
     def window(self, e: Expr, g: Grid, previous: bool) -> Windowed:
+        return self._placed(*self._window_samples(e, g), g, previous)
+
+    def _window_samples(self, e: Expr, g: Grid) -> tuple[DataFrame, list[str], Grid, int, int, bool]:
+        """Samples that a window may hold: (frame, labels, grid, range, offset, whether ``@`` pins the grid to one time)."""
         e = _bare(e)
         if isinstance(e, Subquery):
-            return self._subquery(e, g, previous)
+            return self._subquery(e, g)
         s: Selector = e.selector
         pin = self._pinned(s.at)
         on = Grid(pin, pin) if pin is not None else g
         df, labels = self.catalog.samples(s.matchers, on.start - s.offset - e.range, on.last - s.offset)
         if df is None:
             df = self.nothing(tuple(labels)).frame.select(*labels, F.col(E).alias(T), V)
-        return self._placed(df, labels, on, g, e.range, s.offset, pin, previous)
+        return df, labels, on, e.range, s.offset, pin is not None
 
-    def _subquery(self, e: Subquery, g: Grid, previous: bool) -> Windowed:
+    def _subquery(self, e: Subquery, g: Grid) -> tuple[DataFrame, list[str], Grid, int, int, bool]:
         """The inner expression at multiples of the step, its values standing in for samples."""
         step = e.step or self.default_step
         pin = self._pinned(e.at)
@@ -166,14 +170,19 @@ class Compiler:
         else:
             made = self.vector(e.expr, inner) if inner.size else self.nothing(())
         df = made.frame.select(*made.labels, F.col(E).alias(T), V)
-        return self._placed(df, list(made.labels), on, g, e.range, e.offset, pin, previous)
+        return df, list(made.labels), on, e.range, e.offset, pin is not None
 
-    def _placed(self, df: DataFrame, labels: list[str], on: Grid, g: Grid, span: int, offset: int, pin: int | None, previous: bool) -> Windowed:
-        if previous:  # before samples are repeated; the windows' aggregation finds the rows partitioned by series already
-            order = (Window.partitionBy(*labels) if labels else Window.partitionBy(F.lit(0))).orderBy(T)
-            df = df.withColumn("__pt", F.lag(T).over(order)).withColumn("__pv", F.lag(V).over(order))
+    @staticmethod
+    def _with_previous(df: DataFrame, labels: list[str]) -> DataFrame:
+        """Each series' samples with the one before; done before samples are repeated, so aggregations over windows find the
+        rows partitioned by series already."""
+        order = (Window.partitionBy(*labels) if labels else Window.partitionBy(F.lit(0))).orderBy(T)
+        return df.withColumn("__pt", F.lag(T).over(order)).withColumn("__pv", F.lag(V).over(order))
+
+    def _placed(self, df: DataFrame, labels: list[str], on: Grid, span: int, offset: int, pinned: bool, g: Grid, previous: bool) -> Windowed:
+        df = self._with_previous(df, labels) if previous else df
         placed = self._on_grid(df, on, span, offset)
-        return Windowed(self._spread(placed, g) if pin is not None else placed, tuple(labels), span)
+        return Windowed(self._spread(placed, g) if pinned else placed, tuple(labels), span)
 
     def nothing(self, labels: tuple[str, ...]) -> Vector:
         schema = ", ".join([*(f"`{x}` string" for x in labels), f"{E} long", f"{T} long", f"{V} double"])
@@ -298,7 +307,11 @@ class Compiler:
     def _over_time(self, e: Call, g: Grid) -> Vector:
         f = WINDOW[e.name]
         at = next(i for i, a in enumerate(e.args) if type_of(a) == R.MATRIX)
-        w = self.window(e.args[at], g, f.previous)
+        df, labels, on, span, offset, pinned = self._window_samples(e.args[at], g)
+        if f.panes and on.size > 1 and span % on.step == 0 and span > on.step:
+            v = self._by_panes(f, df, labels, on, span, offset)
+            return v if f.keeps_name else v.nameless()
+        w = self._placed(df, labels, on, span, offset, pinned, g, f.previous)
         scalars = [self.scalar(a, g) for i, a in enumerate(e.args) if i != at]
         df, args = self._attached(w.frame, scalars)
         fixed = [s.constant if s.constant is not None else a for s, a in zip(scalars, args, strict=True)]
@@ -307,6 +320,19 @@ class Compiler:
         v = Vector(grouped.where(F.col("__n") >= f.least).select(*w.labels, E, V), w.labels)
         return v if f.keeps_name else v.nameless()
 
+    def _by_panes(self, f, df: DataFrame, labels: list[str], on: Grid, span: int, offset: int) -> Vector:
+        """Overlapping windows of whole steps: each sample is summarised once, in its pane, and panes are repeated instead."""
+        context, per = {"range": span, "args": []}, span // on.step
+        df = self._with_previous(df, labels) if f.previous else df
+        pane = _ceil_div(F.col(T) + offset - on.start, on.step)
+        states = f.panes.states(context)
+        panes = df.withColumn("__p", pane).groupBy(*labels, "__p").agg(F.count("*").alias("__n"), *[c.alias(k) for k, c in states.items()])
+        low, high = F.greatest(F.lit(0).cast("long"), F.col("__p")), F.least(F.lit(on.size - 1).cast("long"), F.col("__p") + (per - 1))
+        i = F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>")))
+        placed = panes.withColumn("__i", i).withColumn(E, (F.lit(on.start) + F.col("__i") * on.step).cast("long")).withColumn(AT, F.col(E) - offset)
+        grouped = placed.groupBy(*labels, E).agg(f.panes.merged(context).cast("double").alias(V), F.sum("__n").alias("__k"))
+        return Vector(grouped.where(F.col("__k") >= f.least).select(*labels, E, V), tuple(labels))
+
     def _absent(self, e: Call, g: Grid) -> Vector:
         arg = _bare(e.args[0])
         present = self.window(arg, g, False).frame if type_of(arg) == R.MATRIX else self.vector(arg, g).frame
