@@ -19,38 +19,64 @@ from ..plans.parser import matches
 E, T, V, AT = "__e", "__t", "__v", "__at"
 
 
+Frame = DataFrame | Callable[[], DataFrame]
+
+
 @dataclass
 class Source:
     """``frame`` (or a callable giving it) with columns ``time`` (long ms, timestamp or timestamp_ntz) and ``value``.
 
     Other string columns are labels; ``labels_column`` may hold more in a map, whose keys are ``label_names`` (found by one
-    pass over the data if not given).
+    pass over the data if not given).  A source with a table per metric gives a dict of frames by metric name and the
+    ``label_names`` that they may have; a query then opens the tables that its name matchers leave, and no others.
     """
 
     name: str
-    frame: DataFrame | Callable[[], DataFrame]
+    frame: Frame | dict[str, Frame]
     labels: dict[str, str] = field(default_factory=dict)
     time: str = "t"
     value: str = "v"
     labels_column: str | None = None
     label_names: list[str] | None = None
-    _open: tuple | None = field(default=None, repr=False)
-
-    def open(self) -> tuple[DataFrame, list[str]]:
-        """The frame and its own label columns."""
-        if self._open is None:
-            df = self.frame() if callable(self.frame) and not isinstance(self.frame, DataFrame) else self.frame
+    _open: dict = field(default_factory=dict, repr=False)
+
+    def __post_init__(self) -> None:
+        if isinstance(self.frame, dict) and self.label_names is None:
+            raise ValueError(f"source {self.name}: frames by metric need label_names")
+
+    def own_labels(self) -> list[str]:
+        """The source's own label columns."""
+        if isinstance(self.frame, dict):
+            return ["__name__", *self._allowed(self.label_names)]
+        return self._opened(None, self.frame)[1]
+
+    def parts(self, matchers: tuple[Matcher, ...]) -> list[tuple[DataFrame, list[str], dict[str, str]]]:
+        """(frame, label columns, constant labels) that may hold samples of the matchers' names."""
+        if not isinstance(self.frame, dict):
+            return [(*self._opened(None, self.frame), {})]
+        names = [m for m in matchers if m.name == "__name__"]
+        found = [(metric, *self._opened(metric, frame)) for metric, frame in self.frame.items() if all(matches(m, metric) for m in names)]
+        return [(df, own, {"__name__": metric}) for metric, df, own in found]
+
+    def _opened(self, key: str | None, frame: Frame) -> tuple[DataFrame, list[str]]:
+        if key not in self._open:
+            df = frame if isinstance(frame, DataFrame) else frame()
             if self.labels_column:
                 names = self.label_names
                 if names is None:
                     names = sorted(r[0] for r in df.select(F.explode(F.map_keys(self.labels_column))).distinct().collect())
                 df = df.select("*", *[F.coalesce(F.col(self.labels_column).getItem(n), F.lit("")).alias(n) for n in names])
             own = [c for c, kind in df.dtypes if kind == "string" and c not in (self.time, self.value, self.labels_column)]
-            bad = [c for c in own if c.startswith("__") and c != "__name__"]
-            if bad:
-                raise ValueError(f"source {self.name}: label names must not start with __: {bad}")
-            self._open = (df, own)
-        return self._open
+            if isinstance(self.frame, dict):
+                own = [c for c in own if c in self.label_names]
+            self._open[key] = (df, self._allowed(own))
+        return self._open[key]
+
+    def _allowed(self, names: list[str]) -> list[str]:
+        bad = [c for c in names if c.startswith("__") and c != "__name__"]
+        if bad:
+            raise ValueError(f"source {self.name}: label names must not start with __: {bad}")
+        return names
 
     def millis(self, df: DataFrame) -> Column:
         kind = df.schema[self.time].dataType.simpleString()
@@ -103,11 +129,12 @@ class Catalog:
     def virtual_labels(self) -> dict[str, dict[str, str]]:
         return {s.name: {n: s.labels.get(n, "") for n in self.virtual} for s in self.sources.values()}
 
-    def opened(self) -> list[tuple[Source, DataFrame, list[str]]]:
+    def _each(self, ask: Callable[[Source], object]) -> list[tuple[Source, object]]:
+        """Every source with what ``ask`` gives; one that can't be opened is a warning, in strict mode an error."""
         out = []
         for s in self.sources.values():
             try:
-                out.append((s, *s.open()))
+                out.append((s, ask(s)))
             except Exception as e:
                 if self.strict or isinstance(e, ValueError):
                     raise
@@ -116,25 +143,27 @@ class Catalog:
 
     def label_names(self) -> list[str]:
         """Label columns of every selector, in order."""
-        return sorted({n for _, _, own in self.opened() for n in own} | set(self.virtual))
+        return sorted({n for _, own in self._each(Source.own_labels) for n in own} | set(self.virtual))
 
     def samples(self, matchers: tuple[Matcher, ...], low: int, high: int) -> tuple[DataFrame | None, list[str]]:
         """Samples with low < time <= high: label columns (empty where a series lacks one), __t, __v.  None if no source fits."""
         names = self.label_names()
         out = None
-        for s, df, own in self.opened():
-            fixed = {n: s.labels.get(n, "") for n in self.virtual if s.labels.get(n, "") or n not in own}
-            static = fixed | {n: "" for n in names if n not in own and n not in fixed} | {m.name: "" for m in matchers if m.name not in names}
-            if not all(matches(m, static[m.name]) for m in matchers if m.name in static):
-                continue
-            for m in matchers:
-                if m.name not in static:
-                    df = df.where(condition(F.col(m.name), m) if m.op in ("=", "=~") and not matches(m, "") else condition(F.coalesce(F.col(m.name), F.lit("")), m))
-            df = df.where(s.bounds(df, low, high))
-            t = s.millis(df)
-            columns = [F.lit(static[n]).alias(n) if n in static else F.coalesce(F.col(n), F.lit("")).alias(n) for n in names]
-            part = df.select(*columns, t.alias(T), F.col(s.value).cast("double").alias(V)).where(f"{T} > {low} and {T} <= {high} and {V} is not null")
-            out = part if out is None else out.unionAll(part)
+        for s, parts in self._each(lambda s: s.parts(matchers)):
+            for df, own, constant in parts:
+                fixed = constant | {n: s.labels.get(n, "") for n in self.virtual if s.labels.get(n, "") or n not in own}
+                static = fixed | {n: "" for n in names if n not in own and n not in fixed} | {m.name: "" for m in matchers if m.name not in names}
+                if not all(matches(m, static[m.name]) for m in matchers if m.name in static):
+                    continue
+                t, v = s.millis(df), F.col(s.value).cast("double")
+                keep = s.bounds(df, low, high) & t.between(low + 1, high) & v.isNotNull()
+                for m in matchers:
+                    if m.name not in static:
+                        plain = m.op in ("=", "=~") and not matches(m, "")  # a null can't match: no coalesce between it and the scan
+                        keep &= condition(F.col(m.name) if plain else F.coalesce(m.name, F.lit("")), m)
+                columns = [F.lit(static[n]).alias(n) if n in static else F.coalesce(n, F.lit("")).alias(n) for n in names]
+                part = df.where(keep).select(*columns, t.alias(T), v.alias(V))
+                out = part if out is None else out.unionAll(part)
         return out, names
 
 

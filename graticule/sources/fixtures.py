@@ -7,44 +7,46 @@ from pyspark.sql import functions as F
 
 from .catalog import Catalog, Source
 
-#: event type -> virtual labels of its source; a missing region is empty.
-ROUTES = {"click": ("prod", "eu"), "view": ("prod", "us"), "purchase": ("staging", "eu")}
 BOUNDS = (1, 5, 10, 25, 50, 100)
-DAY = 86_400_000
 
 
-def _events(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "user_id", "event_type", "value")
-    return df.where(F.col("event_type").isin(*kinds)).withColumn("shard", (F.col("user_id") % 10).cast("string"))
+def _frames(events: DataFrame, kinds: tuple[str, ...]) -> dict:
+    """The metrics of some event types, a frame each, made when a query asks for it."""
+    own = events.where(F.col("event_type").isin(*kinds))
+    day = F.date_trunc("day", F.col("ts"))
 
+    def metric(df: DataFrame, value) -> DataFrame:
+        return df.select("event_type", "shard", "ts", value.alias("v"))
 
-def _metric(df: DataFrame, name: str, value, *labels: str, le=None) -> DataFrame:
-    names = ("event_type", "shard", "le")
-    return df.select(F.lit(name).alias("__name__"), *[F.col(n) if n in labels else F.lit("").alias(n) for n in names if n != "le"], (le if le is not None else F.lit("")).alias("le"), F.col("ts"), value.alias("v"))
+    def total() -> DataFrame:
+        running = Window.partitionBy("event_type", "shard", day).orderBy("ts")
+        return metric(own.withColumn("c", F.sum("value").over(running)), F.col("c"))
 
+    def buckets() -> DataFrame:
+        flags = F.array(*[F.struct(F.lit(str(b)).alias("le"), (F.col("value") <= b).cast("long").alias("n")) for b in BOUNDS], F.struct(F.lit("+Inf").alias("le"), F.lit(1).cast("long").alias("n")))
+        daily = own.select("event_type", day.alias("d"), F.explode(flags).alias("b")).groupBy("event_type", "d", "b.le").agg(F.sum("b.n").cast("double").alias("v"))
+        return daily.select("event_type", "le", (F.col("d") + F.expr("interval 1 day")).alias("ts"), "v")
 
-def _source(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
-    """All metrics of some event types; a selector's name keeps one branch of this union."""
-    e = _events(spark, sf_dir, kinds)
-    day = F.date_trunc("day", F.col("ts"))
-    running = Window.partitionBy("event_type", "shard", day).orderBy("ts")
-    both = ("event_type", "shard")
-    out = _metric(e, "event_value", F.col("value"), *both)
-    out = out.unionAll(_metric(e.withColumn("c", F.sum("value").over(running)), "event_value_total", F.col("c"), *both))
-    out = out.unionAll(_metric(e, "event_unit", F.col("value") % 2 - 1, *both))
-    out = out.unionAll(_metric(e, "event_info", F.lit(1.0), *both))
-    flags = F.array(*[F.struct(F.lit(str(b)).alias("le"), (F.col("value") <= b).cast("long").alias("n")) for b in BOUNDS], F.struct(F.lit("+Inf").alias("le"), F.lit(1).cast("long").alias("n")))
-    daily = e.select("event_type", day.alias("d"), F.explode(flags).alias("b")).groupBy("event_type", "d", "b.le").agg(F.sum("b.n").cast("double").alias("n"))
-    daily = daily.withColumn("ts", F.col("d") + F.expr("interval 1 day"))
-    return out.unionAll(_metric(daily, "event_value_bucket", F.col("n"), "event_type", le=F.col("le")))
+    return {
+        "event_value": lambda: metric(own, F.col("value")),
+        "event_value_total": total,
+        "event_unit": lambda: metric(own, F.col("value") % 2 - 1),
+        "event_info": lambda: metric(own, F.lit(1.0)),
+        "event_value_bucket": buckets,
+    }
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type", "value", (F.col("user_id") % 10).cast("string").alias("shard"))
+
+    def source(name: str, kinds: tuple[str, ...], **labels: str) -> Source:
+        return Source(name, _frames(events, kinds), labels, time="ts", label_names=["event_type", "shard", "le"])
+
     return Catalog(
         [
-            Source("prod-eu", lambda: _source(spark, sf_dir, ("click",)), {"env": "prod", "region": "eu"}, time="ts"),
-            Source("prod-us", lambda: _source(spark, sf_dir, ("view",)), {"env": "prod", "region": "us"}, time="ts"),
-            Source("staging-eu", lambda: _source(spark, sf_dir, ("purchase",)), {"env": "staging", "region": "eu"}, time="ts"),
-            Source("staging-global", lambda: _source(spark, sf_dir, ("signup", "error")), {"env": "staging"}, time="ts"),
+            source("prod-eu", ("click",), env="prod", region="eu"),
+            source("prod-us", ("view",), env="prod", region="us"),
+            source("staging-eu", ("purchase",), env="staging", region="eu"),
+            source("staging-global", ("signup", "error"), env="staging"),
         ]
     )

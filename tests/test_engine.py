@@ -225,3 +225,21 @@ def test_map_labels_and_timestamps(spark):
     df = spark.sql("SELECT map('__name__', 'm', 'pod', 'x') AS labels, timestamp '1970-01-01 00:01:00' AS ts, 3 AS value UNION ALL SELECT map('__name__', 'm'), timestamp '1970-01-01 00:01:00', 4")
     e = Engine(spark, Catalog([Source("x", df, time="ts", value="value", labels_column="labels")]))
     assert {tuple(sorted(r["metric"].items())): r["value"][1] for r in e.query("m", 60)["data"]["result"]} == {(("__name__", "m"), ("pod", "x")): "3", (("__name__", "m"),): "4"}
+
+
+def test_a_table_per_metric(spark):
+    opened = []
+
+    def table(name, job, value):
+        def make():
+            opened.append(name)
+            return spark.createDataFrame([(job, 0, value)], "job string, t long, v double")
+
+        return make
+
+    e = Engine(spark, Catalog([Source("x", {"up": table("up", "a", 1.0), "reqs": table("reqs", "b", 2.0)}, {"env": "p"}, label_names=["job", "le"])]))
+    assert values(e, "up", 0) == {(("__name__", "up"), ("env", "p"), ("job", "a")): 1.0} and opened == ["up"]
+    assert set(values(e, '{__name__=~"up|reqs",le=""}', 0).values()) == {1.0, 2.0} and opened == ["up", "reqs"]
+    assert values(e, "nope", 0) == {} and e.label_values("__name__", None, 0, 1)["data"] == ["reqs", "up"]
+    with pytest.raises(ValueError, match="label_names"):
+        Source("y", {"up": table("up", "a", 1.0)})
