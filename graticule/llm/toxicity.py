@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, table
 
 PER_CLASS = {1: 1000, 0: 2000}
-TERMS, FACTORS, STEPS, DECAY, RATE, SEED = 1024, 4, 200, 2e-4, 0.05, 7
+TERMS, FACTORS, STEPS, DECAY, RATE, SEED = 1024, 4, 300, 2e-5, 0.05, 7
 PREFIXES = (3, 4, 5, 6)
 WORD = re.compile(r"[^\W_]+")
 REMEMBER = 500_000
