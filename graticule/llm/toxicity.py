@@ -32,6 +32,8 @@ from .common import arrow_rows, table
 PER_CLASS = {1: 1000, 0: 2000}
 TERMS, FACTORS, STEPS, DECAY, RATE, SEED = 1024, 4, 300, 2e-5, 0.05, 7
 PREFIXES = (3, 4, 5, 6)
+#: Terms without evidence of their own that are learnt for their pairs: how many, and in what share of the texts.
+FILL, COMMON = 64, 0.2
 WORD = re.compile(r"[^\W_]+")
 REMEMBER = 500_000
 THRESHOLD = 0.7
@@ -94,9 +96,12 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Machine:
     p, q, m = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1), (pos + neg + 1) / (n1 + n0 + 2)
     gain = pos * np.log(p / m) + neg * np.log(q / m)
     gain[pos + neg < 3] = -1
-    best = np.sort(np.lexsort((terms, -gain))[:TERMS])
     # terms of clean texts are many and each says little: they need more evidence
-    best = best[gain[best] > np.where(p[best] > q[best], 4, 12)]
+    telling = np.flatnonzero(gain > np.where(p > q, 4, 12))
+    best = telling[np.lexsort((terms[telling], -gain[telling]))[:TERMS]]
+    # terms that say nothing alone may say something together: the commonest others fill what room is left
+    common = np.setdiff1d(np.flatnonzero(pos + neg >= COMMON * len(rows)), best)
+    best = np.sort(np.concatenate((best, common[np.lexsort((terms[common], -(pos + neg)[common]))[: min(FILL, TERMS - len(best))]])))
     column = np.full(len(terms), -1)
     column[best] = np.arange(len(best))
     x = np.zeros((len(rows), len(best)), np.float32)
