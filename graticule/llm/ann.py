@@ -5,8 +5,8 @@ dimension, in a stream, so a task holds one block however many queries there are
 projections, each kept as a sorted array of values with row numbers.
 
 A query starts with a narrow window around its own projection on every line.  A row that lies in the windows of at least
-``COLLISIONS`` of the lines is a candidate.  While there are fewer than ``SHARE`` of the block's rows (``LEAST`` at least),
-virtual rehashing widens all windows by ``GROWTH`` and counts only what is new at their ends.  Candidates are verified:
+``COLLISIONS`` of the lines is a candidate.  While there are fewer than ``SHARE`` of the block's rows, at every size
+alike, virtual rehashing widens all windows by ``GROWTH`` and counts only what is new at their ends.  Candidates are verified:
 exact inner products in double precision, ties to the smaller id.
 
 Inner products become distances by one more coordinate, sqrt(largest norm^2 - norm^2), which queries have as zero.
@@ -30,7 +30,7 @@ from .common import arrow_rows, table
 
 NEAREST, EVERY = 20, 20
 BLOCK = 16384
-LINES, COLLISIONS, SHARE, LEAST, START, GROWTH, SEED = 64, 0.55, 0.25, 400, 0.65, 1.2, 5
+LINES, COLLISIONS, SHARE, START, GROWTH, SEED = 128, 0.55, 0.25, 0.65, 1.2, 5
 #: Queries whose windows are looked up together.
 TOGETHER = 64
 
@@ -52,7 +52,7 @@ class Index:
         self.rows = np.argsort(values, axis=0, kind="stable").T.astype(np.intp).copy()
         self.values = np.sort(values, axis=0).T.copy()
         self.start = START * float(np.median(values.std(axis=0))) or START
-        self.need = max(LEAST, int(np.ceil(SHARE * n)))
+        self.need = int(np.ceil(SHARE * n))
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, vector id, score) of up to k neighbours for each query found in this block."""
@@ -78,7 +78,7 @@ class Index:
                 counts[i] += np.bincount(ring, minlength=n).astype(np.uint8)
                 lo[i], hi[i] = new_lo[x], new_hi[x]
                 near = np.flatnonzero(counts[i] >= least)
-                if len(near) >= min(self.need, n) or bool(((lo[i] == 0) & (hi[i] == n)).all()):
+                if len(near) >= min(max(self.need, k + 1), n) or bool(((lo[i] == 0) & (hi[i] == n)).all()):
                     found[i] = near
                 else:
                     still.append(i)

@@ -71,3 +71,21 @@ def test_blocks_norms_and_copies(spark, tmp_path, monkeypatch):
 def test_empty(spark, tmp_path):
     write_table(tmp_path, "embeddings", [], SCHEMA)
     assert got(spark, str(tmp_path)) == {}
+
+
+def test_recall_of_a_full_block():
+    """A block of its full size, and the same share of the rows verified in small ones."""
+    random = np.random.default_rng(3)
+    centres = random.normal(size=(400, 64))
+    vectors = (centres[random.integers(0, 400, ann.BLOCK)] + 0.7 * random.normal(size=(ann.BLOCK, 64))).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    ids = np.arange(ann.BLOCK)
+    index = ann.Index(ids, vectors)
+    query, found, _ = index.nearest(ids[:64], vectors[:64], 20)
+    scores = vectors[:64].astype(float) @ vectors.T.astype(float)
+    scores[ids[:64], ids[:64]] = -np.inf
+    true = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    r = np.mean([len(set(found[query == i]) & set(true[i])) / 20 for i in range(64)])
+    print("full block", r)
+    assert r >= 0.95
+    assert index.need == ann.BLOCK // 4 and ann.Index(ids[:1000], vectors[:1000]).need == 250
