@@ -163,10 +163,16 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def train_dictionary(encoded: DataFrame, documents: int) -> bytes:
-    """A zstandard dictionary from a hash-chosen sample of serialized ids, about ``TRAIN_DOCS`` of the table's ``documents``."""
+    """A zstandard dictionary from a hash-chosen sample of serialized ids, about ``TRAIN_DOCS`` of the table's ``documents``.
+
+    Of a long document a run from a place that a hash names; a sample that gives no dictionary means frames without one.
+    """
     bound = int((1 << 62) * min(1.0, TRAIN_DOCS / max(1, documents)))
     chosen = encoded.where(F.xxhash64("doc_id", "n_tokens").bitwiseAND(F.lit((1 << 62) - 1)) < bound)
-    rows = chosen.select(F.expr(f"substring(ids, 1, {1 + 2 * TRAIN_IDS})").alias("ids")).limit(2 * TRAIN_DOCS).collect()
+    width = F.when(F.expr("substring(ids, 1, 1)") == F.lit(b"\x04"), 4).otherwise(2)
+    first = F.pmod(F.xxhash64("n_tokens", "doc_id", F.lit(1)), F.greatest(F.col("n_tokens") - TRAIN_IDS * 2 / width + 1, F.lit(1)).cast("long"))
+    run = F.substring("ids", (2 + width * first).cast("int"), 2 * TRAIN_IDS)
+    rows = chosen.select(F.concat(F.expr("substring(ids, 1, 1)"), run).alias("ids")).limit(2 * TRAIN_DOCS).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(bytes(r.ids) for r in rows)).as_bytes()
     except (zstandard.ZstdError, ValueError):

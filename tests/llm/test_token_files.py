@@ -75,3 +75,15 @@ def test_wide_ids_round_trip():
     narrow = np.array([1, 65535], "<u4")
     assert len(token_files.packed(narrow.tobytes())) == 5
     assert token_files.unpacked(token_files.packed(narrow.tobytes())).tolist() == narrow.tolist()
+
+
+def test_dictionary_learns_from_anywhere_in_long_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(token_files.zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or (_ for _ in ()).throw(ValueError()))
+    long, wide, short = np.arange(40000, dtype="<u4"), np.arange(40000, dtype="<u4") + 65536, np.arange(7, dtype="<u4")
+    rows = [(i, len(x), bytearray(token_files.packed(x.tobytes()))) for i, x in enumerate([long] * 20 + [wide] * 20 + [short])]
+    assert token_files.train_dictionary(spark.createDataFrame(rows, "doc_id long, n_tokens long, ids binary"), 1) == b""
+    runs = [token_files.unpacked(x) for x in seen]
+    assert sorted(len(x) for x in runs) == [7] + [2048] * 20 + [4096] * 20
+    assert all((np.diff(x.astype(int)) == 1).all() for x in runs)
+    assert len({int(x[0]) for x in runs}) > 30 and max(int(x[-1]) % 65536 for x in runs) > 30000
