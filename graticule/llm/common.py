@@ -1,13 +1,16 @@
 """What the training-data operators share: tables, scratch folders, components, word rules.
 
-Scratch tables go to the folder that the cluster names in ``spark.checkpoint.dir``; only where that setting is missing
-(tests, a laptop) a local folder is used.  A table written there cuts the lineage: executors that are lost afterwards
-cost a re-read and no recomputation.
+Scratch tables go to the folder that the cluster names in ``spark.checkpoint.dir``; only where that setting is missing on
+a local master (tests, a laptop) a local folder is used, which goes when the process ends.  A table written there cuts the
+lineage: executors that are lost afterwards cost a re-read and no recomputation.  An operator's result may still read its
+tables, so they stay until the caller, done with the results, calls ``release``.
 """
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,33 +30,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graticule-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="graticule-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Scratch paths that nothing has deleted yet.
+_LEFT: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/graticule/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/graticule/{label}-{uuid.uuid4().hex}"
+    _LEFT.append(path)
+    return path
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and return it read back, with a lineage of one scan."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop(df: DataFrame) -> None:
     """Delete the scratch table behind a frame that ``cut`` returned."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(df.sparkSession, df.scratch)
+    _LEFT.remove(df.scratch)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every scratch table of this process; results that were not yet read can't be read afterwards."""
+    while _LEFT:
+        _delete(spark, _LEFT.pop())
+
+
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 16 << 20
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows per Arrow batch: small enough that a batch of very long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds the rows and bytes of Arrow batches, so that a batch of very long texts fits a Python worker.
+
+    Plans read the settings when they run, which is after an operator has returned, so these stay; a caller's lower bounds do.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").lower()
+        if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
