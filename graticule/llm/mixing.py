@@ -5,7 +5,7 @@ below a threshold.  The threshold is found digit by digit: words are summed by s
 the running sum over at most 4096 buckets names the bucket in which the budget ends, and only that bucket's documents are
 summed by their next 12 bits, and so on.  After five digits the bucket is one hash; it is taken if that brings the sum
 nearer to the budget.  No document is ever sorted, and the thresholds nest: a larger budget keeps all that a smaller one
-took.
+took.  After each digit the state, one row a source, is written out, so the plans of the digits don't pile up.
 
 Targets: sources in code-point order (null last) weigh 3, 1, 2, 3, ...; together they get ``share`` of all words, none more
 than twice its own.  A capped source's excess is shared again by weight, so every other source gets ``level * weight`` for
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, table
 
 WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
 DIGITS, DIGIT_BITS = 5, 12
@@ -64,7 +64,10 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
         # the first bucket that reaches what is left; if none does (rounding), the last
         reach = F.struct(F.when(F.col("upto") >= F.col("left"), 0).otherwise(1).alias("late"), F.when(F.col("upto") >= F.col("left"), F.col("bucket")).otherwise(-F.col("bucket")).alias("o"), "bucket", "upto", "n")
         best = joined.groupBy("src").agg(F.min(reach).alias("b"), F.first("left").alias("left"), F.first("budget").alias("budget"))
-        found = best.select(F.col("src").alias("source"), "budget", (F.col("left") - (F.col("b.upto") - F.col("b.n"))).alias("left"), F.col("b.bucket").alias("head"), F.col("b.n").alias("last"))
+        before = F.col("left") - (F.col("b.upto") - F.col("b.n"))
+        then, found = found, cut(best.select(F.col("src").alias("source"), "budget", before.alias("left"), F.col("b.bucket").alias("head"), F.col("b.n").alias("last")), "mix-digit")
+        if digit:
+            drop(then)
     # `left` is what the one boundary hash may still give and `last` what it has
     take = F.abs(F.col("left") - F.col("last")) < F.abs(F.col("left"))
     return found.select("source", F.when((F.col("budget") > 0) & take, F.col("head")).otherwise(F.col("head") - 1).alias("threshold"))
