@@ -27,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table
+from .common import arrow_rows, cut, drop, table
 
 PER_CLASS = {1: 1000, 0: 2000}
 TERMS, FACTORS, STEPS, DECAY, RATE, SEED = 1024, 4, 300, 2e-5, 0.05, 7
 PREFIXES = (3, 4, 5, 6)
 #: Terms without evidence of their own that are learnt for their pairs: how many, and in what share of the texts.
 FILL, COMMON = 64, 0.2
+#: Texts that a term must occur in, and its evidence; terms of clean texts are many and each says little.
+LEAST, TOXIC_GAIN, CLEAN_GAIN = 3, 4, 12
 WORD = re.compile(r"[^\W_]+")
 REMEMBER = 500_000
 THRESHOLD = 0.7
@@ -79,8 +81,22 @@ class Machine:
         return 1 / (1 + math.exp(-z)) if z > -500 else 0.0
 
 
-def fit(rows: list[tuple[np.ndarray, int]]) -> Machine:
-    """``rows``: (distinct term hashes, label)."""
+def chosen(terms: np.ndarray, pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The terms to learn, in order, from counts of texts of either class that hold each."""
+    # signed root of the likelihood ratio of the two rates
+    p, q, m = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1), (pos + neg + 1) / (n1 + n0 + 2)
+    gain = pos * np.log(p / m) + neg * np.log(q / m)
+    gain[pos + neg < LEAST] = -1
+    telling = np.flatnonzero(gain > np.where(p > q, TOXIC_GAIN, CLEAN_GAIN))
+    best = telling[np.lexsort((terms[telling], -gain[telling]))[:TERMS]]
+    # terms that say nothing alone may say something together: the commonest others fill what room is left
+    common = np.setdiff1d(np.flatnonzero(pos + neg >= COMMON * (n1 + n0)), best)
+    best = np.concatenate((best, common[np.lexsort((terms[common], -(pos + neg)[common]))[: min(FILL, TERMS - len(best))]]))
+    return np.sort(terms[best])
+
+
+def fit(rows: list[tuple[np.ndarray, int]], terms: np.ndarray | None = None) -> Machine:
+    """``rows``: (distinct term hashes, label); ``terms``: the sorted terms to learn, else ``chosen`` from the rows."""
     labels = np.array([y for _, y in rows], np.float64)
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     if not n1 or not n0:
@@ -88,25 +104,16 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Machine:
         return Machine(np.zeros(0, np.uint64), math.log(p / (1 - p)), np.zeros(0), np.zeros((0, FACTORS)))
     every = np.concatenate([t for t, _ in rows])
     owner = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
-    terms, at = np.unique(every, return_inverse=True)
-    del every
-    pos = np.bincount(at[labels[owner] == 1], minlength=len(terms))
-    neg = np.bincount(at[labels[owner] == 0], minlength=len(terms))
-    # signed root of the likelihood ratio of the two rates
-    p, q, m = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1), (pos + neg + 1) / (n1 + n0 + 2)
-    gain = pos * np.log(p / m) + neg * np.log(q / m)
-    gain[pos + neg < 3] = -1
-    # terms of clean texts are many and each says little: they need more evidence
-    telling = np.flatnonzero(gain > np.where(p > q, 4, 12))
-    best = telling[np.lexsort((terms[telling], -gain[telling]))[:TERMS]]
-    # terms that say nothing alone may say something together: the commonest others fill what room is left
-    common = np.setdiff1d(np.flatnonzero(pos + neg >= COMMON * len(rows)), best)
-    best = np.sort(np.concatenate((best, common[np.lexsort((terms[common], -(pos + neg)[common]))[: min(FILL, TERMS - len(best))]])))
-    column = np.full(len(terms), -1)
-    column[best] = np.arange(len(best))
+    if terms is None:
+        terms, at = np.unique(every, return_inverse=True)
+        counts = [np.bincount(at[labels[owner] == y], minlength=len(terms)) for y in (1, 0)]
+        terms = chosen(terms, *counts, n1, n0)
+    best = terms
+    column = np.searchsorted(best, every)
+    use = column < len(best)
+    use[use] = best[column[use]] == every[use]
     x = np.zeros((len(rows), len(best)), np.float32)
-    use = column[at] >= 0
-    x[owner[use], column[at[use]]] = 1
+    x[owner[use], column[use]] = 1
     random = np.random.default_rng(SEED)
     y = labels.astype(np.float32)
     share = np.where(y == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)  # both classes weigh the same
@@ -123,13 +130,13 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> Machine:
             first[i] = 0.9 * first[i] + 0.1 * d
             second[i] = 0.999 * second[i] + 0.001 * d * d
             state[i] = state[i] - RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    return Machine(terms[best], float(state[0][0]), state[1].astype(np.float64), state[2].astype(np.float64))
+    return Machine(best, float(state[0][0]), state[1].astype(np.float64), state[2].astype(np.float64))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = [np.array(sorted({h for w in set(WORD.findall((t or "").lower())) for h in terms_of(w)}), "<u8").tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["toxic", "terms"])
+        terms = [np.array(sorted({h for w in set(WORD.findall((t or "").lower())) for h in terms_of(w)}), np.uint64).view(np.int64) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int64()))], ["toxic", "terms"])
 
 
 def in_fold(doc_id) -> "F.Column":
@@ -147,11 +154,28 @@ def train(docs: DataFrame, labels: DataFrame, learn_all: bool = False) -> Machin
     for kind, most in PER_CLASS.items():
         part = marked.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(most)
         picked = part if picked is None else picked.union(part)
-    # at most 3000 narrow rows: a proven bound
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", F.col("text").cast("string").alias("text"), "doc_id")
-    arrow_rows(docs.sparkSession, 500)
-    rows = sample.select("toxic", "text").mapInArrow(_hashed, "toxic int, terms binary").collect()
-    return fit(sorted(((np.frombuffer(r.terms, "<u8"), r.toxic) for r in rows), key=lambda r: (r[1], r[0].tobytes())))
+    # at most 3000 rows of two numbers: a proven bound
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    # a row for each id and label, whatever repeats in either table: of several texts the least
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    arrow_rows(docs.sparkSession, 250)
+    hashed = cut(sample.select("toxic", "text").mapInArrow(_hashed, "toxic int, terms array<long>"), "toxicity-sample")
+    n1, n0 = (hashed.where(F.col("toxic") == y).count() for y in (1, 0))
+    if not n1 or not n0:
+        return fit([(np.zeros(0, np.uint64), y) for y in [1] * n1 + [0] * n0])
+    # only terms that may be chosen come to the driver: TERMS of each kind
+    counts = hashed.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    p, q, m = (F.col("pos") + 0.5) / (n1 + 1), (F.col("neg") + 0.5) / (n0 + 1), (F.col("pos") + F.col("neg") + 1) / (n1 + n0 + 2)
+    gain, both = F.col("pos") * F.log(p / m) + F.col("neg") * F.log(q / m), F.col("pos") + F.col("neg")
+    telling = counts.where((both >= LEAST) & (gain > F.when(p > q, TOXIC_GAIN).otherwise(CLEAN_GAIN))).orderBy(gain.desc(), "term").limit(TERMS)
+    common = counts.where(both >= COMMON * (n1 + n0)).orderBy(both.desc(), "term").limit(TERMS + FILL)
+    found = sorted({tuple(r) for part in (telling, common) for r in part.collect()})
+    term, pos, neg = (np.array([r[i] for r in found], np.int64) for i in range(3))
+    terms = chosen(term.view(np.uint64), pos.astype(np.float64), neg.astype(np.float64), n1, n0)
+    known = F.array(*[F.lit(int(t)) for t in terms.view(np.int64)]) if len(terms) else F.array().cast("array<long>")
+    rows = hashed.select("toxic", F.array_sort(F.array_intersect("terms", known)).alias("terms")).collect()
+    drop(hashed)
+    return fit(sorted(((np.array(r.terms, np.int64).view(np.uint64), r.toxic) for r in rows), key=lambda r: (r[1], r[0].tobytes())), terms)
 
 
 def scored(docs: DataFrame, machine: Machine, keep: list[str], text: str = "text") -> DataFrame:
