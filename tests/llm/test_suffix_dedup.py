@@ -74,13 +74,49 @@ def test_very_long_and_empty(spark, tmp_path):
     assert got(spark, documents(tmp_path / "b", [])) == []
 
 
-def test_family_levels_grow_geometrically():
-    family, random_ = sd.Family(), np.random.default_rng(2)
-    values = random_.integers(0, 3000, 4000).astype(np.uint64)
-    told = []
-    for i in range(0, 4000, 100):
-        told += family.insert(values[i : i + 100], values[i : i + 100] * np.uint64(7), np.arange(i, i + 100)).tolist()
-        sizes = [len(level.ids) for level in family.levels]
-        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
-    unique, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-    assert sorted(told) == np.flatnonzero(counts[inverse] > 1).tolist()
+def strings_told(entries, spans):
+    """(row, place) of every string of entries that spans name."""
+    return {(row, at + i) for row, at, n in spans for i in range(n)}
+
+
+def test_family_of_stored_levels(spark, tmp_path):
+    """Batches meet the levels of earlier ones, also after reopening; levels are in suffix order and grow geometrically."""
+    rnd = random.Random(9)
+    gram = bytes(range(32))
+    rights = [bytes(rnd.choice(b"ab") for _ in range(168)) for _ in range(6)]
+    lefts = [bytes(rnd.choice(b"ab") for _ in range(168)) for _ in range(6)]
+    rows = []
+    for row in range(90):
+        right = rnd.choice(rights)[: rnd.randint(0, 168)] + bytes(rnd.choice(b"ab") for _ in range(168))
+        left = rnd.choice(lefts)[: rnd.randint(0, 168)] + bytes(rnd.choice(b"ab") for _ in range(168))
+        rows.append((row, 0, 169, 1, 5, 0, gram + right[:168], left[:168]))
+    body = {r[0]: r[7][::-1] + r[6] for r in rows}
+    family, told, sizes = None, set(), []
+    for i in range(0, 90, 10):
+        if i in (0, 50):
+            family = sd.Family(spark, f"file://{tmp_path}/index")
+        more = family.add(spark.createDataFrame(rows[i : i + 10], sd.ENTRY))
+        told |= strings_told(rows, map(tuple, more.collect()))
+        sizes.append([n for _, n in family.levels])
+        seen = defaultdict(list)
+        for row in range(i + 10):
+            for at in range(169):
+                seen[body[row][at : at + 200]].append((row, at))
+        assert told == {x for v in seen.values() if len(v) > 1 for x in v}
+    assert told and sizes[-1] == [80, 10] and max(map(len, sizes)) <= 4
+    for level in family.levels:
+        files = [[(r.crowd, bytes(r.suffix)) for r in spark.read.parquet(str(f)).collect()] for f in (tmp_path / "index" / f"level-{level[0]:06d}-{level[1]}").glob("*.parquet")]
+        assert all(f == sorted(f) for f in files) and sum(map(len, files)) == level[1]
+
+
+def test_pieces_and_equal_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sd, "PASS", 700)
+    rnd = random.Random(6)
+
+    def prose(n):
+        return "".join(rnd.choice("abcdefgh ") for _ in range(n))
+
+    shared = prose(900)
+    texts = [prose(1500) + shared[:600] + prose(2000) + shared[300:] + prose(777), prose(699) + shared, prose(5000)] + [prose(30) + shared[:230] + prose(10)] * 40
+    ids = [0, 1, 2, *[3] * 40]
+    assert got(spark, documents(tmp_path, texts, ids)) == brute(ids, texts)
