@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import threading
 import time as clock
 import uuid
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,7 @@ from .plans.units import format_float, parse_step, parse_time
 from .sources.catalog import E, T, V, Catalog
 
 TRUNCATED = "results truncated due to limit"
+log = logging.getLogger(__name__)
 
 
 class QueryError(Exception):
@@ -32,7 +35,8 @@ class QueryError(Exception):
 
 @dataclass
 class Limits:
-    samples: int = 50_000_000  # rows that a query may read; 0: no limit
+    samples: int = 50_000_000  # that an answer may hold; 0: no limit
+    read: int = 50_000_000  # samples that a query may read from its sources; 0: no limit
     seconds: float = 300
     concurrent: int = 20
 
@@ -42,14 +46,19 @@ class Engine:
         self.spark, self.catalog, self.lookback, self.default_step = spark, catalog, lookback_ms, default_step_ms
         self.limits = limits or Limits()
         self._slots = threading.BoundedSemaphore(self.limits.concurrent)
+        self._asked: ContextVar[Catalog | None] = ContextVar("catalog", default=None)  # what one API request works on
         if spark.conf.get("spark.sql.session.timeZone") != "UTC":
             spark.conf.set("spark.sql.session.timeZone", "UTC")
 
+    @property
+    def current(self) -> Catalog:
+        return self._asked.get() or self.catalog
+
     # -- as DataFrames
 
     def compiled(self, query: str | Expr, grid: Grid) -> tuple[Expr, object]:
         expr = parse(query) if isinstance(query, str) else query
-        return expr, Compiler(self.spark, self.catalog, grid, self.lookback, self.default_step).run(expr)
+        return expr, Compiler(self.spark, self.current, grid, self.lookback, self.default_step).run(expr)
 
     def instant_frame(self, query: str, time: int) -> DataFrame:
         """Labels, ts, value of one evaluation time (ms); sort functions at the root order it."""
@@ -102,16 +111,15 @@ class Engine:
             if isinstance(result, String):
                 return {"resultType": kind, "result": [at / 1000, result.value]}, []
             df = self._ordered(expr, self._frame(result, Grid(at, at)))
-            self._guard(df)
             if kind == "scalar":
-                r = df.first()
+                (r,) = self._collected(df)
                 return {"resultType": kind, "result": [r.ts / 1000, format_float(r.value)]}, []
             if kind == "matrix":
                 return self._series(df, kind, limit)
             labels = [c for c in df.columns if c not in ("ts", "value")]
             ordered = isinstance(expr, Call) and expr.name in R.ORDERING
             df = df if ordered else df.orderBy(*labels, "ts")
-            rows = (df.limit(limit + 1) if limit else df).collect()
+            rows = self._collected(df.limit(limit + 1) if limit else self._limited(df))
             cut = [TRUNCATED] if limit and len(rows) > limit else []
             found = [{"metric": self._metric(r, labels), "value": [r.ts / 1000, format_float(r.value)]} for r in (rows[:limit] if limit else rows)]
             return {"resultType": kind, "result": found}, cut
@@ -125,16 +133,15 @@ class Engine:
             a, b, s = parse_time(start), parse_time(end), parse_step(step)
             if b < a:
                 raise ValueError("end timestamp must not be before start time")
-            df = self.range_frame(query, a, b, s)
-            self._guard(df)
-            return self._series(df, "matrix", limit)
+            return self._series(self.range_frame(query, a, b, s), "matrix", limit)
 
         return self._answer(run)
 
     def _series(self, df: DataFrame, kind: str, limit: int) -> tuple[dict, list[str]]:
         labels = [c for c in df.columns if c not in ("ts", "value")]
-        grouped = df.groupBy(*labels).agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("points")).orderBy(*labels)
-        rows = (grouped.limit(limit + 1) if limit else grouped).collect()
+        grouped = df.groupBy(*labels).agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("points"))
+        grouped = grouped.orderBy(*labels) if labels else grouped
+        rows = self._collected(grouped.limit(limit + 1) if limit else self._limited(grouped), lambda r: len(r.points))
         cut = [TRUNCATED] if limit and len(rows) > limit else []
         found = [{"metric": self._metric(r, labels), "values": [[p.ts / 1000, format_float(p.value)] for p in r.points]} for r in (rows[:limit] if limit else rows)]
         return {"resultType": kind, "result": found}, cut
@@ -143,11 +150,37 @@ class Engine:
     def _metric(row, labels: list[str]) -> dict[str, str]:
         return {n: row[n] for n in labels if row[n]}
 
-    def _guard(self, df: DataFrame) -> None:
-        """Fails a query that would return more samples than the limit, counting no further than that."""
-        most = self.limits.samples
-        if most and df.limit(most + 1).count() > most:
-            raise QueryError("execution", f"query exceeds the limit of {most} samples")
+    def _limited(self, df: DataFrame) -> DataFrame:
+        return df.limit(self.limits.samples + 1) if self.limits.samples else df
+
+    def _collected(self, df: DataFrame, samples=lambda row: 1) -> list:
+        """The rows of one run, which fails beyond the limits on samples in the answer or read for it."""
+        rows = df.collect()
+        read = samples_read(df) if self.limits.read else 0
+        for most, n in ((self.limits.samples, sum(map(samples, rows))), (self.limits.read, read)):
+            if most and n > most:
+                raise QueryError("execution", f"query exceeds the limit of {most} samples")
+        return rows
+
+    def _whole(self, run, late=None) -> tuple[object, list[str]]:
+        """What ``run`` gives, and the warnings of the sources; one whose data can't be read is left out with a warning."""
+        view = self.catalog.view()
+        token = self._asked.set(view)
+        try:
+            return run(), view.warnings
+        except (ParseError, ValueError, QueryError):
+            raise
+        except Exception:
+            if view.strict or (late and late.is_set()):
+                raise
+            broken = {s.name: m for s in view.sources.values() if (m := s.failure())}
+            if not broken or len(broken) == len(view.sources):
+                raise
+            view = self.catalog.view(broken)
+            self._asked.set(view)
+            return run(), [*[f"{n}: {m}" for n, m in broken.items()], *view.warnings]
+        finally:
+            self._asked.reset(token)
 
     def _answer(self, run) -> dict:
         if not self._slots.acquire(blocking=False):
@@ -160,11 +193,11 @@ class Engine:
             self.spark.interruptTag(tag)
 
         timer = threading.Timer(self.limits.seconds, stop)
-        seen = len(self.catalog.warnings)
         try:
             self.spark.addTag(tag)
             timer.start()
-            data, warnings = run()
+            log.info("%s starts", tag)
+            (data, warnings), missing = self._whole(run, late)
         except (ParseError, ValueError) as e:
             return {"status": "error", "errorType": "bad_data", "error": str(e), "code": 400}
         except QueryError as e:
@@ -172,14 +205,15 @@ class Engine:
         except Exception as e:
             if late.is_set():
                 return {"status": "error", "errorType": "timeout", "error": f"query took longer than {self.limits.seconds} s", "code": 422}
-            found = re.search(r"(many-to-many matching not allowed[^\n]*?side|multiple matches for labels[^\n]*?\(group_left/group_right\))", str(e))
+            found = re.search(r"(vector cannot contain metrics with the same labelset|many-to-many matching not allowed[^\n]*?side|multiple matches for labels[^\n]*?\(group_left/group_right\))", str(e))
             return {"status": "error", "errorType": "execution", "error": found[1] if found else str(e).splitlines()[0], "code": 422}
         finally:
             timer.cancel()
             self.spark.removeTag(tag)
             self._slots.release()
+            log.info("%s ends", tag)
         out = {"status": "success", "data": data}
-        warnings = [*dict.fromkeys(self.catalog.warnings[seen:]), *warnings]
+        warnings = [*dict.fromkeys(missing), *warnings]
         return out | ({"warnings": warnings} if warnings else {})
 
     # -- plans
@@ -200,12 +234,7 @@ class Engine:
             if all(matches_empty(m) for m in selector.matchers):
                 raise ParseError("match[] must contain at least one non-empty matcher")
             sets.append(selector.matchers)
-        out = None
-        for matchers in sets or [()]:
-            df, _ = self.catalog.samples(matchers, start - 1, end)
-            if df is not None:
-                out = df if out is None else out.unionAll(df)
-        return out, self.catalog.label_names()
+        return self.current.samples_of_any(sets or [()], start - 1, end)
 
     def series_frame(self, match: list[str], start: int, end: int) -> DataFrame:
         """Distinct label sets with a sample in [start, end] (ms), one column per label."""
@@ -233,15 +262,19 @@ class Engine:
         return df.select(F.col(name).alias("value")).where("value <> ''").distinct()
 
     def _metadata(self, frame, limit: int, shape) -> dict:
-        try:
+        def run() -> list:
             df = frame()
-            rows = (df.orderBy(*df.columns).limit(limit + 1) if limit else df.orderBy(*df.columns)).collect()
+            return (df.orderBy(*df.columns).limit(limit + 1) if limit else df.orderBy(*df.columns)).collect()
+
+        try:
+            rows, warnings = self._whole(run)
         except (ParseError, ValueError) as e:
             return {"status": "error", "errorType": "bad_data", "error": str(e), "code": 400}
         except Exception as e:
             return {"status": "error", "errorType": "internal", "error": str(e).splitlines()[0], "code": 500}
         out = {"status": "success", "data": [shape(r) for r in (rows[:limit] if limit else rows)]}
-        return out | ({"warnings": [TRUNCATED]} if limit and len(rows) > limit else {})
+        warnings = [*dict.fromkeys(warnings), *([TRUNCATED] if limit and len(rows) > limit else [])]
+        return out | ({"warnings": warnings} if warnings else {})
 
     def series(self, match: list[str], start: str | float, end: str | float, limit: int = 0) -> dict:
         return self._metadata(lambda: self.series_frame(match, parse_time(start), parse_time(end)), limit, lambda r: {k: v for k, v in r.asDict().items() if v})
@@ -260,6 +293,33 @@ class Engine:
         return not self.spark.sparkContext._jsc.sc().isStopped()
 
 
+def samples_read(df: DataFrame) -> int:
+    """Samples that a finished run of ``df`` took from its sources: rows of each scan, after the filter right above it."""
+
+    def rows(plan) -> int:
+        metric = plan.metrics().get("numOutputRows")
+        return metric.get().value() if metric.isDefined() else 0
+
+    def count(plan, above: int | None) -> int:
+        name = plan.getClass().getSimpleName()
+        if name == "ReusedExchangeExec":
+            return 0
+        if name == "AdaptiveSparkPlanExec":
+            return count(plan.executedPlan(), above)
+        if name.endswith("QueryStageExec"):
+            return count(plan.plan(), above)
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        if not children:
+            return 0 if name == "RangeExec" else rows(plan) if above is None else above
+        if name == "FilterExec":
+            above = rows(plan)
+        elif len(children) > 1 or name not in ("ProjectExec", "WholeStageCodegenExec", "InputAdapter", "ColumnarToRowExec", "DeserializeToObjectExec", "SerializeFromObjectExec"):
+            above = None
+        return sum(count(c, above) for c in children)
+
+    return count(df._jdf.queryExecution().executedPlan(), None)
+
+
 def natural_key(name: str) -> Column:
     """Orders ``host2`` before ``host10``: digit runs are padded."""
     column = F.col(name)

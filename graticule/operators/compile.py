@@ -19,7 +19,7 @@ from ..functions import histogram, numeric
 from ..functions.over_time import WINDOW, quantile_agg
 from ..plans import registry as R
 from ..plans.ast import Aggregate, Binary, Call, Expr, Matrix, Number, Paren, Selector, String, Subquery, Unary
-from ..plans.parser import ParseError, matches, type_of
+from ..plans.parser import ParseError, java_group, java_pattern, matches, type_of
 from ..sources.catalog import AT, E, T, V, Catalog
 
 #: Windows that overlap more than this are answered by each sample's successor instead of by repeating samples.
@@ -248,6 +248,10 @@ class Compiler:
 
     def vector(self, e: Expr, g: Grid) -> Vector:
         e = _bare(e)
+        v = self._vector(e, g)
+        return _distinct(v) if _may_repeat(e, v) else v
+
+    def _vector(self, e: Expr, g: Grid) -> Vector:
         if isinstance(e, Selector):
             v = self.instant(e, g)
             return v.with_value(F.col(V))
@@ -301,7 +305,7 @@ class Compiler:
             v = self.vector(e.args[0], g)
             dst, sep = e.args[1].value, e.args[2].value
             parts = [F.col(a.value) if a.value in v.labels else F.lit("") for a in e.args[3:]]
-            return _with_label(v, dst, F.concat_ws(sep, *parts) if parts else F.lit(""))
+            return _relabelled(v, dst, F.concat_ws(sep, *parts) if parts else F.lit(""))
         return self._histogram(e, g)
 
     def _over_time(self, e: Call, g: Grid) -> Vector:
@@ -350,11 +354,11 @@ class Compiler:
         v = self.vector(e.args[0], g)
         dst, replacement, src, pattern = (a.value for a in e.args[1:])
         source = F.col(src) if src in v.labels else F.lit("")
-        anchored = rf"\A(?s:{pattern})\z"
+        anchored = rf"\A(?s:{java_pattern(pattern)})\z"
         target = F.col(dst) if dst in v.labels else F.lit("")
         # $1, ${1} and ${name} are the same in both dialects but for $$ and a bare $1x, which names group "1x": empty
         java = _java_replacement(replacement)
-        return _with_label(v, dst, F.when(source.rlike(anchored), F.regexp_replace(source, F.lit(anchored), F.lit(java))).otherwise(target))
+        return _relabelled(v, dst, F.when(source.rlike(anchored), F.regexp_replace(source, F.lit(anchored), F.lit(java))).otherwise(target))
 
     def _histogram(self, e: Call, g: Grid) -> Vector:
         at = next(i for i, a in enumerate(e.args) if type_of(a) == R.VECTOR)
@@ -366,14 +370,10 @@ class Compiler:
         b = F.col("__b")
         if e.name == "histogram_quantiles":
             label = e.args[1].value
-            made = None
-            for q in e.args[2:]:
-                s = self.scalar(q, g)
-                part, (value,) = self._attached(grouped, [s])
-                shown = numeric.text_of(value)
-                one = _with_label(Vector(part.select(*labels, E, histogram.quantile(b, value).alias(V), shown.alias("__q")), labels), label, F.col("__q"))
-                made = one if made is None else Vector(made.frame.unionByName(one.frame), made.labels)
-            return made
+            df, values = self._attached(grouped, [self.scalar(q, g) for q in e.args[2:]])
+            each = F.explode(F.array(*[F.struct(x.cast("double").alias("q"), numeric.text_of(x).alias("shown")) for x in values])).alias("__q")
+            df = df.select(*labels, E, "__b", each)
+            return _with_label(Vector(df.select(*labels, E, histogram.quantile(b, F.col("__q")["q"]).alias(V), F.col("__q")["shown"].alias("__s")), labels), label, F.col("__s"))
         df, args = self._attached(grouped, [self.scalar(a, g) for i, a in enumerate(e.args) if i != at])
         value = histogram.quantile(b, args[0]) if e.name == "histogram_quantile" else histogram.fraction(b, args[0], args[1])
         return Vector(df.select(*labels, E, value.alias(V)), labels)
@@ -520,6 +520,51 @@ def _with_label(v: Vector, name: str, value: Column, *carry: str) -> Vector:
     return Vector(v.frame.select(*rest, value.alias(name), E, *(carry or (V,))), names)
 
 
+def _relabelled(v: Vector, name: str, value: Column) -> Vector:
+    """A label set anew; only one that was there before can have told two series apart."""
+    out = _with_label(v, name, value)
+    return _distinct(out) if name in v.labels else out
+
+
+def _several_names(e: Expr) -> bool:
+    """Whether the series of a vector or window may differ in name alone."""
+    e = _bare(e)
+    if isinstance(e, Matrix):
+        return _several_names(e.selector)
+    if isinstance(e, Subquery):
+        return _several_names(e.expr)
+    if isinstance(e, Selector):
+        return not any(m.name == NAME and m.op == "=" and m.value for m in e.matchers)
+    if isinstance(e, Binary):
+        return any(_several_names(x) for x in (e.left, e.right) if type_of(x) == R.VECTOR) if e.op in R.SETS or (e.op in R.COMPARISON and not e.bool_) else False
+    if isinstance(e, Unary):
+        return e.op == "+" and _several_names(e.expr)
+    if isinstance(e, Call):
+        keeps = e.name in R.ORDERING or e.name in ("label_replace", "label_join") or (e.name in WINDOW and WINDOW[e.name].keeps_name)
+        return keeps and any(_several_names(a) for a in e.args if type_of(a) in (R.VECTOR, R.MATRIX))
+    if isinstance(e, Aggregate):
+        return e.op in ("topk", "bottomk", "limitk") and _several_names(e.expr)
+    return False
+
+
+def _may_repeat(e: Expr, v: Vector) -> bool:
+    """Whether the operator may give two series the same labels: it drops the names of series that differ in name alone."""
+    if isinstance(e, Unary) and e.op == "-":
+        return _several_names(e.expr)
+    if isinstance(e, Binary) and R.SCALAR in (type_of(e.left), type_of(e.right)) and (e.op not in R.COMPARISON or e.bool_):
+        return any(_several_names(x) for x in (e.left, e.right) if type_of(x) == R.VECTOR)
+    if isinstance(e, Call) and NAME not in v.labels and e.name not in ("absent", "absent_over_time", "label_replace", "label_join", "histogram_quantile", "histogram_quantiles", "histogram_fraction"):
+        return any(_several_names(a) for a in e.args if type_of(a) in (R.VECTOR, R.MATRIX))
+    return False
+
+
+def _distinct(v: Vector) -> Vector:
+    """``v``, failing where two series have the same labels at one time."""
+    n = F.count("*").over(Window.partitionBy(*v.labels, E))
+    same = F.raise_error(F.lit("vector cannot contain metrics with the same labelset")).cast("double")
+    return Vector(v.frame.withColumn("__n", n), v.labels).with_value(F.when(F.col("__n") > 1, same).otherwise(F.col(V)))
+
+
 def _java_replacement(text: str) -> str:
     """A replacement template with $1, ${1} or ${name} in Java's dialect."""
     import re
@@ -533,7 +578,7 @@ def _java_replacement(text: str) -> str:
         elif group.isdigit():
             out += f"${group}" if len(group) == 1 else ""
         elif m[1]:
-            out += "${" + group + "}"
+            out += "${" + java_group(group) + "}"
         at = m.end()
     return out + re.sub(r"([\\$])", r"\\\1", text[at:])
 

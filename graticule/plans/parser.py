@@ -6,6 +6,11 @@ import math
 import re
 from dataclasses import replace
 
+try:  # knows the Unicode classes that the language's dialect has
+    import regex as dialect
+except ImportError:
+    import re as dialect
+
 from . import registry as R
 from .ast import Aggregate, Binary, Call, Expr, Matcher, Matching, Matrix, Number, Paren, Selector, String, Subquery, Unary
 from .units import DURATION, parse_duration
@@ -315,15 +320,24 @@ def check_regex(pattern: str) -> None:
     if re.search(r"\(\?(?:[=!]|<[=!]|>)|(?<!\\)(?:\\\\)*\\[1-9]", pattern):
         raise ParseError(f"unsupported regular expression {pattern!r}")
     try:
-        re.compile(pattern)
-    except re.error as e:
+        dialect.compile(pattern)
+    except (re.error, dialect.error) as e:
         raise ParseError(f"error parsing regexp: {e}") from None
 
 
+def java_pattern(pattern: str) -> str:
+    """A pattern as Java reads it: groups are named without P and underscores."""
+    return re.sub(r"(?<!\\)((?:\\\\)*)\(\?P?<([A-Za-z_]\w*)>", lambda m: f"{m[1]}(?<{java_group(m[2])}>", pattern)
+
+
+def java_group(name: str) -> str:
+    return "g" + name.replace("_", "U") if "_" in name else name
+
+
 def matches(m: Matcher, value: str) -> bool:
     if m.op in ("=", "!="):
         return (m.value == value) == (m.op == "=")
-    return bool(re.fullmatch(f"(?s:{m.value})", value)) == (m.op == "=~")
+    return bool(dialect.fullmatch(f"(?s:{m.value})", value)) == (m.op == "=~")
 
 
 def matches_empty(m: Matcher) -> bool:

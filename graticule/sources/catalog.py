@@ -7,14 +7,15 @@ of the union: a matcher on them prunes the branch before anything is read, and t
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from copy import copy
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ast import Matcher
-from ..plans.parser import matches
+from ..plans.parser import java_pattern, matches
 
 E, T, V, AT = "__e", "__t", "__v", "__at"
 
@@ -44,6 +45,15 @@ class Source:
         if isinstance(self.frame, dict) and self.label_names is None:
             raise ValueError(f"source {self.name}: frames by metric need label_names")
 
+    def failure(self) -> str | None:
+        """What goes wrong when the source's data are read whole; None if nothing does."""
+        try:
+            for df in [self._opened(k, f)[0] for k, f in self.frame.items()] if isinstance(self.frame, dict) else [self._opened(None, self.frame)[0]]:
+                df.agg(F.count(self.time), F.count(self.value)).collect()
+        except Exception as e:
+            return str(e).splitlines()[0]
+        return None
+
     def own_labels(self) -> list[str]:
         """The source's own label columns."""
         if isinstance(self.frame, dict):
@@ -126,6 +136,13 @@ class Catalog:
             raise ValueError("no endpoints configured")
         return cls([Source(e["url"], lambda u=e["url"]: opener(u), {k: str(v) for k, v in (e.get("labels") or {}).items()}, **columns) for e in endpoints])
 
+    def view(self, without: Iterable[str] = ()) -> Catalog:
+        """The same sources but some, with warnings of its own: what one request works on.  All virtual labels stay known."""
+        out = copy(self)
+        out.sources = {n: s for n, s in self.sources.items() if n not in set(without)}
+        out.warnings = []
+        return out
+
     def virtual_labels(self) -> dict[str, dict[str, str]]:
         return {s.name: {n: s.labels.get(n, "") for n in self.virtual} for s in self.sources.values()}
 
@@ -147,20 +164,31 @@ class Catalog:
 
     def samples(self, matchers: tuple[Matcher, ...], low: int, high: int) -> tuple[DataFrame | None, list[str]]:
         """Samples with low < time <= high: label columns (empty where a series lacks one), __t, __v.  None if no source fits."""
+        return self.samples_of_any([matchers], low, high)
+
+    def samples_of_any(self, sets: list[tuple[Matcher, ...]], low: int, high: int) -> tuple[DataFrame | None, list[str]]:
+        """Samples that any of the sets of matchers fits, each source read once."""
         names = self.label_names()
         out = None
-        for s, parts in self._each(lambda s: s.parts(matchers)):
+        for s, parts in self._each(lambda s: list({c.get("__name__"): (df, own, c) for m in sets for df, own, c in s.parts(m)}.values())):
             for df, own, constant in parts:
                 fixed = constant | {n: s.labels.get(n, "") for n in self.virtual if s.labels.get(n, "") or n not in own}
-                static = fixed | {n: "" for n in names if n not in own and n not in fixed} | {m.name: "" for m in matchers if m.name not in names}
-                if not all(matches(m, static[m.name]) for m in matchers if m.name in static):
+                fits = None
+                for matchers in sets:
+                    static = fixed | {n: "" for n in names if n not in own and n not in fixed} | {m.name: "" for m in matchers if m.name not in names}
+                    if not all(matches(m, static[m.name]) for m in matchers if m.name in static):
+                        continue
+                    this = F.lit(True)
+                    for m in matchers:
+                        if m.name not in static:
+                            plain = m.op in ("=", "=~") and not matches(m, "")  # a null can't match: no coalesce between it and the scan
+                            this &= condition(F.col(m.name) if plain else F.coalesce(m.name, F.lit("")), m)
+                    fits = this if fits is None else fits | this
+                if fits is None:
                     continue
                 t, v = s.millis(df), F.col(s.value).cast("double")
-                keep = s.bounds(df, low, high) & t.between(low + 1, high) & v.isNotNull()
-                for m in matchers:
-                    if m.name not in static:
-                        plain = m.op in ("=", "=~") and not matches(m, "")  # a null can't match: no coalesce between it and the scan
-                        keep &= condition(F.col(m.name) if plain else F.coalesce(m.name, F.lit("")), m)
+                keep = s.bounds(df, low, high) & t.between(low + 1, high) & v.isNotNull() & fits
+                static = fixed | {n: "" for n in names if n not in own and n not in fixed}
                 columns = [F.lit(static[n]).alias(n) if n in static else F.coalesce(n, F.lit("")).alias(n) for n in names]
                 part = df.where(keep).select(*columns, t.alias(T), v.alias(V))
                 out = part if out is None else out.unionAll(part)
@@ -173,5 +201,5 @@ def condition(column: Column, m: Matcher) -> Column:
         return column == m.value
     if m.op == "!=":
         return column != m.value
-    test = column.rlike(rf"\A(?s:{m.value})\z")
+    test = column.rlike(rf"\A(?s:{java_pattern(m.value)})\z")
     return test if m.op == "=~" else ~test

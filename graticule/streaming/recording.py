@@ -2,8 +2,8 @@
 
 A rule is ``op by (labels) (function(metric[range]))`` evaluated every ``step``: samples are filtered and summarised in
 event-time windows of ``range`` sliding by ``step``; a window is final once the watermark has passed it, and late samples
-within ``delay`` still count.  Windows are [end - range, end), as Spark's are; the batch engine's range selectors hold their
-end instead of their start, which differs only for samples exactly on a step.
+within ``delay`` still count.  Windows are (end - range, end], as those of range selectors: Spark's hold their start instead,
+so event times are moved back by the microsecond that is their smallest unit.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ class Rule:
         df = samples
         for m in parse_selector(self.selector).matchers:
             df = df.where(condition(F.coalesce(F.col(m.name), F.lit("")), m)) if m.name in samples.columns else df.where(condition(F.lit(""), m))
+        df = df.withColumn("ts", F.col("ts") - F.expr("INTERVAL '0.000001' SECOND"))
         if df.isStreaming:
             df = df.withWatermark("ts", self.delay)
         window = F.window("ts", self.range, self.step).alias("w")

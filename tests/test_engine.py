@@ -243,3 +243,52 @@ def test_a_table_per_metric(spark):
     assert values(e, "nope", 0) == {} and e.label_values("__name__", None, 0, 1)["data"] == ["reqs", "up"]
     with pytest.raises(ValueError, match="label_names"):
         Source("y", {"up": table("up", "a", 1.0)})
+
+
+def test_limit_on_samples_read(spark):
+    rows = [("c", f"j{i % 4}", "", 1000 * i, float(i)) for i in range(200)]
+    e = Engine(spark, Catalog([Source("x", frame(spark, rows), {"env": "a"})]), limits=Limits(read=5))
+    assert "limit of 5 samples" in e.query("sum(count_over_time(c[5m]))", 200)["error"]
+    assert "limit of 5 samples" in e.query_range("sum(c)", 0, 200, 50)["error"]
+    assert e.query('sum(c{job="nope"})', 200)["status"] == "success"
+    assert Engine(spark, e.catalog, limits=Limits(read=200)).query("sum(count_over_time(c[5m]))", 200)["data"]["result"][0]["value"][1] == "200"
+
+
+def test_equal_label_sets_are_refused(spark):
+    df = frame(spark, [("a", "x", "", 0, 1.0), ("b", "x", "", 0, 2.0), ("b", "y", "", 0, 3.0)])
+    e = Engine(spark, Catalog([Source("s", df)]))
+    for query in ('abs({__name__=~"a|b"})', '-{__name__=~"a|b"}', '{__name__=~"a|b"} * 2', 'count_over_time({__name__=~"a|b"}[5m])', 'label_replace(b, "job", "z", "", "")', 'label_join(b, "job", "-")'):
+        assert "same labelset" in e.query(query, 0).get("error", ""), query
+    for query in ("abs(b)", '{__name__=~"a|b"} > 0', '+{__name__=~"a|b"}', 'abs({__name__=~"a|b",job="y"})', 'label_replace(b, "job", "${1}z", "job", "(.*)")', 'last_over_time({__name__=~"a|b"}[5m])'):
+        assert e.query(query, 0)["status"] == "success", query
+
+
+def test_a_source_that_fails_while_read_is_a_warning(spark, tmp_path):
+    good = frame(spark, [("m", "a", "", 0, 1.0)])
+    path = str(tmp_path / "bad")
+    good.write.parquet(path)
+    bad = spark.read.parquet(path)
+    for file in (tmp_path / "bad").glob("*.parquet"):
+        file.write_bytes(b"no parquet at all")
+    e = Engine(spark, Catalog([Source("ok", good, {"env": "a"}), Source("bad", bad, {"env": "b"})]))
+    out = e.query("sum by (env) (m)", 0)
+    assert out["status"] == "success" and [r["metric"] for r in out["data"]["result"]] == [{"env": "a"}] and out["warnings"][0].startswith("bad: ")
+    found = e.label_values("env", ["m"], 0, 1)
+    assert found["data"] == ["a"] and found["warnings"][0].startswith("bad: ")
+    assert "warnings" not in e.query("vector(1)", 0) and e.catalog.warnings == []
+    e.catalog.strict = True
+    assert e.query("m", 0)["status"] == "error"
+
+
+def test_patterns_mean_the_same_on_every_side(spark):
+    df = frame(spark, [("m", "Ab", "", 0, 1.0), ("m", "ab", "", 0, 2.0)])
+    e = Engine(spark, Catalog([Source("x", df, {"env": "Prod"}), Source("y", df, {"env": "test"})]))
+    assert len(e.query(r'm{env=~"\\p{Lu}.*",job=~"\\p{Lu}.*"}', 0)["data"]["result"]) == 1
+    assert len(e.query('m{env=~"(?P<a_b>P).*",job=~"(?P<a_b>A).*"}', 0)["data"]["result"]) == 1
+    out = e.query('label_replace(m{env="test"}, "first", "${a_b}", "job", "(?P<a_b>.).*")', 0)["data"]["result"]
+    assert sorted(r["metric"]["first"] for r in out) == ["A", "a"]
+
+
+def test_selectors_of_a_metadata_request_share_a_scan(engine):
+    plan = engine.series_frame(['up{job="a",env="prod"}', 'up{job="b",env="prod"}'], 0, 600_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
