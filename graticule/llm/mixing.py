@@ -17,7 +17,7 @@ left together.  A table without words has targets of 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop, table
@@ -26,10 +26,13 @@ WEIGHTS, SHARE, MOST_TIMES = (3, 1, 2), 1.5, 2
 DIGITS, DIGIT_BITS = 5, 12
 
 
+def word_count(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"), F.lit(0).cast("long"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, source)`` -> doc_id, source, size, hash."""
-    size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"), F.lit(0).cast("long"))
-    named = docs.select("doc_id", "source", size.alias("size"))
+    named = docs.select("doc_id", "source", word_count("text").alias("size"))
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("size").cast("string"))
     return named.withColumn("hash", F.conv(F.substring(F.md5(key), 1, DIGITS * DIGIT_BITS // 4), 16, 10).cast("long"))
 

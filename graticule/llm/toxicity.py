@@ -11,8 +11,9 @@ Training is bounded: at most ``PER_CLASS`` labelled rows of each class, chosen b
 full-batch Adam with weight decay and a fixed seed.  Scoring runs over every whole text.  Labels, language, source and id
 are never inputs.
 
-Null and empty texts have no terms and score the model's bias.  Rows of ``labels`` with a null label or id are ignored, of
-repeated ones each trains.  Without rows of both classes the score is the share of toxic rows (0 without any).
+Null and empty texts have no terms and score the model's bias; very long ones are scored whole.  Rows of ``labels`` with a
+null label or id are ignored; a labelled id trains once a label, by the least of its texts, while every row of ``documents``
+is scored.  Without rows of both classes the score is the share of toxic rows (0 without any).
 """
 
 from __future__ import annotations

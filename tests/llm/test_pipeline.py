@@ -78,8 +78,7 @@ def test_near_dedup_odd_rows(spark, tmp_path):
         w[rnd.randint(0, 399)] = f"new{k}"
         near.append(" ".join(w))
     other = [" ".join(rnd.choice("qrstuvwxyz") * rnd.randint(1, 9) for _ in range(100)) for _ in range(20)]
-    # two endless repetitions of four words are left out: finding such pairs is likely, not certain
-    odd = [t for t in ODD_TEXTS if not (t or "").endswith("tail")]
+    odd = ODD_TEXTS
     texts = [*odd, " ".join(base), *near, *other, "one", "", None]
     ids = [*range(len(texts) - 1), None]
     folder = documents(tmp_path, texts, ids, node=(1, pa.int64()), near_group=("x", pa.string()), b=("y", pa.string()))
@@ -172,3 +171,20 @@ def test_odd_and_empty_rows(spark, tmp_path):
         write_table(folder, "labels", [], LABELS)
         stages = run_stages(spark, str(folder))
         assert stages[0].count() == len(texts) and stages[-1].count() >= stages[2].where("text is not null and trim(text) <> ''").count() > 0 or not texts
+
+
+def test_mixing_takes_rows_that_share_an_id_apart(spark, tmp_path):
+    """Ids that repeat with other sizes or sources, and null ids: every row as often as the mix takes a row like it."""
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 9))) for _ in range(300)]
+    ids = [rnd.choice([None, *range(60)]) for _ in texts]
+    sources = [rnd.choice(["s0", "s1", None]) for _ in texts]
+    docs = spark.read.parquet(f"{documents(tmp_path, texts, ids, sources)}/documents.parquet")
+    want = {}
+    for r in corpus_pipeline.mixing.mix(docs.select("doc_id", "text", "source")).collect():
+        want[(r.doc_id, r.source, r.size)] = want.get((r.doc_id, r.source, r.size), 0) + r.taken
+    got = {}
+    for r in corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect():
+        key = (r.doc_id, r.source, len(r.text.split()))
+        got[key] = got.get(key, 0) + key[2]
+    assert got == {k: n for k, n in want.items() if n} and len(got) > 100

@@ -1,8 +1,11 @@
+import math
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import xxhash
 
 from graticule.llm import toxicity
 
@@ -60,3 +63,50 @@ def test_pairs_are_learnt():
         z = machine.bias + machine.weights[at].sum() + 0.5 * ((v.sum(axis=0) ** 2 - (v * v).sum(axis=0)).sum())
         right += (z > 0) == (y == 1)
     assert right > 0.95 * len(rows)
+
+
+def plain_score(machine, text):
+    """The machine's formula over a text's terms, pair by pair."""
+    hashes = set()
+    for word in re.findall(r"[^\W_]+", (text or "").lower()):
+        hashes.add(xxhash.xxh64(word.encode(), seed=1).intdigest())
+        hashes |= {xxhash.xxh64(word[:n].encode(), seed=2).intdigest() for n in (3, 4, 5, 6) if len(word) >= n}
+    rows = [(float(w), [float(x) for x in v]) for t, w, v in zip(machine.terms, machine.weights, machine.factors, strict=True) if int(t) in hashes]
+    z = machine.bias + sum(w for w, _ in rows)
+    for i, (_, a) in enumerate(rows):
+        z += sum(sum(x * y for x, y in zip(a, b, strict=True)) for _, b in rows[i + 1 :])
+    return 1 / (1 + math.exp(-z)) if z > -500 else 0.0
+
+
+def test_scores_are_the_formula(spark):
+    folder = str(DATA / "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    machine = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    rows = toxicity.op10_toxicity(spark, folder).collect()
+    assert len(rows) == len(texts) and len(machine.terms) > 10
+    assert all(math.isclose(r.score, plain_score(machine, texts[r.doc_id]), rel_tol=1e-9, abs_tol=1e-9) for r in rows)
+
+
+def test_terms_chosen_in_spark_are_those_chosen_in_memory(spark):
+    folder = str(DATA / "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    labels = {(r["doc_id"], r["toxic"]) for r in pq.read_table(DATA / "sf0.01/labels.parquet").to_pylist()}
+    rows = [(np.array(sorted({h for w in set(toxicity.WORD.findall((texts[i] or "").lower())) for h in toxicity.terms_of(w)}), np.uint64), y) for i, y in sorted(labels) if i in texts and y in (0, 1)]
+    machine = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"), learn_all=True)
+    assert machine.terms.tolist() == toxicity.fit(rows).terms.tolist()
+
+
+def test_repeated_ids_long_texts_and_no_documents(spark, tmp_path):
+    """A labelled id with several documents trains once, by its least text; every row is scored; no rows, no scores."""
+    texts = ["you are a moron indeed"] * 20 + ["you are kind indeed"] * 20 + ["zzz " * 50000 + "moron", "zzz"]
+    ids = [*range(40), 3, 3]
+    for name, use in (("a", len(texts)), ("b", 0)):
+        (tmp_path / name).mkdir()
+        folder = documents(tmp_path / name, texts[:use], ids[:use] or [])
+        write_table(tmp_path / name, "labels", [{"doc_id": i, "quality": None, "toxic": int(i < 20)} for i in range(40)] * 2, LABELS)
+        rows = toxicity.op10_toxicity(spark, folder).collect()
+        assert len(rows) == use
+        assert all(r.predicted == int(r.doc_id < 20) for r in rows if r.doc_id != 3)
+        assert sorted(r.predicted for r in rows if r.doc_id == 3) == ([0, 1, 1] if use else [])
