@@ -118,5 +118,28 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         mark = seen
 
 
+#: A key with more than one in this many of a table's rows is common (there are fewer than that many); tasks that it is dealt to.
+COMMON, WAYS = 1000, 64
+
+
+def join_groups(big: DataFrame, small: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """Join on ``key``, of which ``small`` has one row each with ``n``, its rows in ``big``: common keys are dealt to many tasks.
+
+    The common keys, fewer than ``COMMON``, are broadcast; their rows in ``big`` get a salt by the hash of their other
+    columns, and their rows in ``small`` are repeated for each salt.  ``small`` should be a written table.
+    """
+    total = small.agg(F.sum(n).cast("long")).first()[0] or 0
+    common = F.coalesce(F.col(n) * COMMON > total, F.lit(False))
+    heavy = small.where(common).select(key, F.lit(True).alias("__common"))
+    if heavy.isEmpty():
+        return big.join(small.drop(n), key, how)
+    others = [c for c in big.columns if c != key]
+    salt = F.when(F.col("__common"), F.pmod(F.xxhash64(*others), F.lit(WAYS)).cast("int")).otherwise(0)
+    left = big.join(F.broadcast(heavy), key, "left").withColumn("__salt", salt).drop("__common")
+    salts = F.when(common, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
+    right = small.withColumn("__salt", F.explode(salts)).drop(n)
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -5,9 +5,10 @@ rows of pivot tables.  Two fingerprints within ``d`` bits differ by at most ``d`
 reference fingerprint, so a pair whose largest coordinate difference exceeds ``d`` is discarded without being compared.
 
 Full-width references spread random fingerprints over only some twenty distances, so they discard pairs but cannot be
-joined on.  Each table therefore also has *partial* references, which see only the bits of a few segments: a pair that
-agrees on these segments is at equal distance from all of them, and that is the table's join key.  With ``s`` segments and
-``d`` differing bits at least ``s - d`` segments agree, so the tables for all subsets of ``s - d`` segments lose no pair.
+joined on.  The pivot table therefore also has *partial* references, ``PARTIAL`` to each of ``d + 2`` segments, whose distance
+counts the bits of their segment alone.  At most ``d`` segments hold a differing bit, so a pair within ``d`` is at equal
+distance from all partial references of at least two segments: these distances, for every choice of two segments, are the
+join keys, and no pair is lost.
 
 Inside a key's rows a breadth-first sweep emits a spanning forest of the links instead of all pairs: rows already in the
 same tree are not compared again, so a dense group of near copies costs about one comparison per row.  Keys with more rows
@@ -25,10 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, arrow_rows, connected_components, cut, table
+from .common import SPACED_WORD, arrow_rows, connected_components, cut, join_groups, table
 
 #: Rows of a key that one sweep takes.
 MOST = 16384
@@ -70,11 +71,30 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
 
 
-def segments(distance: int) -> list[int]:
-    """Masks of the partial references: every choice of two out of ``distance + 2`` segments."""
+#: Partial references to a segment.
+PARTIAL = 8
+
+
+def parts(distance: int) -> list[int]:
+    """Masks of ``distance + 2`` segments."""
     edges = np.linspace(0, 64, distance + 3).round().astype(int).tolist()
-    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [a | b for a, b in combinations(parts, 2)]
+    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def segments(distance: int) -> list[int]:
+    """Masks of what the references of a join key see: every choice of two segments."""
+    return [a | b for a, b in combinations(parts(distance), 2)]
+
+
+def pivot_keys(distance: int) -> Column:
+    """Column ``fp`` -> an array of join keys: the distances to the partial references of two segments, for any two."""
+
+    def signed(x: int) -> Column:
+        return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+
+    random = np.random.default_rng(17)
+    far = [[F.bit_count(F.col("fp").bitwiseXOR(signed(int(r))).bitwiseAND(signed(mask))) for r in random.integers(0, 1 << 64, PARTIAL, np.uint64)] for mask in parts(distance)]
+    return F.array(*[F.xxhash64(F.lit(i), *a, *b) for i, (a, b) in enumerate(combinations(far, 2))])
 
 
 def references() -> np.ndarray:
@@ -195,9 +215,7 @@ def _ordered(rows: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """Distinct ``fps(fp)`` -> ``(u, v)`` links whose components are those of all pairs within ``distance`` bits."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in segments(distance)]
-    tables = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(masks)])).alias("key")
-    rows = fps.select(tables, "fp")
+    rows = fps.select(F.explode(pivot_keys(distance)).alias("key"), "fp")
     found = cut(_ordered(rows).mapInArrow(_linked(distance, MOST), "u long, v long, over int"), "simhash-links")
     edges = found.where("over = 0").select("u", "v")
     over = found.where("over = 1").select(F.col("u").alias("key"), F.ceil(F.col("v") / (MOST // 2)).cast("int").alias("chunks"))
@@ -210,13 +228,13 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def components(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """``prints(doc_id, fp, ...)`` -> the same rows with ``component_id``, the smallest doc_id linked to each."""
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    """``prints(doc_id, fp, ...)``, a written table -> the same rows with ``component_id``, the smallest doc_id linked to each."""
+    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-groups")
     roots = connected_components(links(groups.select("fp"), distance), "simhash-roots").withColumnRenamed("node", "fp")
-    named = cut(groups.join(roots, "fp", "left").select("fp", "first_id", "root"), "simhash-named")
-    lowest = named.where("root is not null").groupBy("root").agg(F.min("first_id").alias("low"))
-    owner = named.join(lowest, "root", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
-    return prints.join(owner, "fp")
+    named = cut(groups.join(roots, "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")), "simhash-named")
+    lowest = cut(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("fps")), "simhash-lowest")
+    owner = cut(join_groups(named, lowest, "root", "fps").select("fp", "n", "component_id"), "simhash-owners")
+    return join_groups(prints, owner, "fp", "n")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
 
 from graticule.llm import simhash
+from graticule.llm.common import join_groups
 
 from .helpers import DATA, ODD_TEXTS, documents, words
 
@@ -104,3 +107,22 @@ def test_references_are_walsh_rows():
     r = simhash.references()
     gaps = np.bitwise_count(r[:, None] ^ r[None, :])
     assert set(gaps[~np.eye(64, dtype=bool)].tolist()) == {32}
+
+
+def test_pivot_keys_find_every_close_pair(spark):
+    """Pairs within four bits share a key of partial distances; of random pairs few do."""
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(64) for _ in range(300)]
+    near = [x ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 4))) for x in base]
+    rows = [(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(base + near)]
+    keys = {r.i: set(r["keys"]) for r in spark.createDataFrame(rows, "i int, fp long").select("i", simhash.pivot_keys(4).alias("keys")).collect()}
+    assert all(keys[i] & keys[i + 300] for i in range(300))
+    assert sum(bool(keys[i] & keys[j]) for i in range(300) for j in range(i)) <= 5
+
+
+def test_common_keys_are_dealt_out(spark):
+    big = spark.createDataFrame([(i % 7 if i % 3 else None, i) for i in range(4000)], "k int, v int")
+    small = spark.createDataFrame([(k, 400 if k < 5 else 1, k * 10) for k in range(6)], "k int, n int, w int")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, big.join(small.drop("n"), "k", how).collect()), key=str)
+        assert sorted(map(tuple, join_groups(big, small, "k", "n", how).select("k", "v", "w").collect()), key=str) == want
