@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, table
+from .common import arrow_rows, cut, join_groups, table
 
 DOCUMENTS, ALIKE, WILD = 10, 0.6, "<*>"
 _DIGIT = re.compile(r"\d")
@@ -67,7 +67,7 @@ class Leaf:
         self.templates = np.zeros((0, 0), np.uint64)
         self.used = 0
         self.support: list[int] = []
-        self.lines: list[list[int]] = []
+        self.lines: list[list[tuple[int, int]]] = []  # with the documents of each
 
     def add(self, line: int, n: int, text: str) -> None:
         tokens = np.array([0 if t == WILD else xxhash.xxh3_64_intdigest(t) | 1 for t in text.split(" ")], np.uint64)
@@ -79,7 +79,7 @@ class Leaf:
             if share[best] >= ALIKE or same:
                 self.templates[best][self.templates[best] != tokens] = 0
                 self.support[best] += n
-                self.lines[best].append(line)
+                self.lines[best].append((line, n))
                 return
         if self.used == len(self.templates):
             grown = np.zeros((max(4, 2 * self.used), len(tokens)), np.uint64)
@@ -89,23 +89,23 @@ class Leaf:
         self.templates[self.used] = tokens
         self.used += 1
         self.support.append(n)
-        self.lines.append([line])
+        self.lines.append([(line, n)])
 
-    def recurring(self) -> Iterator[tuple[int, int]]:
-        """(line, template) of templates that may recur; a template is named by its first line."""
-        for n, lines in zip(self.support, self.lines, strict=True):
-            if n >= DOCUMENTS:
-                yield from ((x, lines[0]) for x in lines)
+    def recurring(self) -> Iterator[tuple[int, int, int]]:
+        """(line, template, n) of templates that may recur; a template is named by its first line."""
+        for support, lines in zip(self.support, self.lines, strict=True):
+            if support >= DOCUMENTS:
+                yield from ((x, lines[0][0], n) for x, n in lines)
 
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (leaf, line) -> (line, template)."""
+    """Rows in order of (leaf, line) -> (line, template, n)."""
     leaf, at = Leaf(), None
     line = text = None
     count = 0
 
-    def pair(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["line", "template"])
+    def told(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["line", "template", "n"])
 
     for batch in batches:
         leaves, lines, ns = (batch.column(i).to_numpy() for i in range(3))
@@ -116,7 +116,7 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = company[1:] | company[:-1] | (ns >= DOCUMENTS)
         if len(look):
             look[0] = look[-1] = True
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
         for i in np.flatnonzero(look).tolist():
             if lines[i] == line and leaves[i] == at:
                 count += int(ns[i])
@@ -127,10 +127,10 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out += leaf.recurring()
                 leaf, at = Leaf(), leaves[i]
             line, count, text = int(lines[i]), int(ns[i]), texts[i].as_py()
-        yield pair(out)
+        yield told(out)
     if line is not None:
         leaf.add(line, count, text)
-    yield pair(list(leaf.recurring()))
+    yield told(list(leaf.recurring()))
 
 
 def _row_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +163,11 @@ def drop_templates(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.xxhash64("doc_id", text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     lines = rows.select("row", "text").mapInArrow(_lines, "leaf long, line long, n long, text string")
-    found = cut(lines.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(_templates, "line long, template long"), "line-templates")
-    where = cut(rows.select("row", "text").mapInArrow(_row_lines, "row long, line long").join(found, "line"), "line-places")
-    recurring = where.groupBy("template").agg(F.countDistinct("row").alias("n")).where(F.col("n") >= DOCUMENTS).select("template")
-    bad = where.join(recurring, "template").groupBy("row").agg(F.collect_set("line").alias("bad"))
+    found = cut(lines.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(_templates, "line long, template long, n long"), "line-templates")
+    places = rows.select("row", "text").mapInArrow(_row_lines, "row long, line long")
+    where = cut(join_groups(places, found, "line", "n"), "line-places")
+    recurring = cut(where.groupBy("template").agg(F.countDistinct("row").alias("n")).where(F.col("n") >= DOCUMENTS), "line-recurring")
+    bad = join_groups(where, recurring, "template", "n").groupBy("row").agg(F.collect_set("line").alias("bad"))
     return rows.join(bad, "row", "left").select("doc_id", "text", "bad").mapInArrow(_kept, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string")
 
 
