@@ -21,7 +21,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_groups, table
 
 LEAST = 0.6
 #: Documents of at most so many words that carry a notice serve as licence files: of their source, of their language.
@@ -79,17 +79,20 @@ def best_lines(docs: DataFrame, key: str) -> DataFrame:
     vocabulary = sorted({v[2] for v in vectors} - set(COMMON))
     pattern = "(?i)(?<![a-z0-9])(?:" + "|".join(t.replace(".", "\\.") for t in vocabulary) + ")(?![a-z0-9])"
     lines = docs.select(key, F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.col("line").rlike(pattern))
-    lines = cut(lines, "license-lines")
+    # a line is known by its digest: its words don't carry it along
+    lines = cut(lines.withColumn("__line", F.md5("line")), "license-lines")
     # some hundred rows, fixed
     known = F.broadcast(_inline(spark, ["template", "license", "term", "weight"], [v[:4] for v in vectors]))
     idf = F.broadcast(_inline(spark, ["term", "idf"], sorted({(v[2], v[4]) for v in vectors})))
-    words = lines.select("line").distinct().select("line", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
-    weighed = words.join(idf, "term", "left").select("line", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("w"))
-    norm = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(known, "term").groupBy("line", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, "line").select("line", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= LEAST)
-    best = scored.groupBy("line").agg(F.max_by(F.struct("license", "score"), F.struct("score", "license")).alias("b"))
-    return lines.join(best, "line").groupBy(key).agg(F.max_by("b", F.struct("b.score", "b.license")).alias("b")).select(key, "b.license", "b.score")
+    each = lines.groupBy("__line").agg(F.count("*").alias("n"), F.first("line").alias("line"))
+    words = each.select("__line", "n", F.explode(terms(F.col("line"))).alias("term")).groupBy("__line", "term").agg(F.count("*").alias("tf"), F.max("n").alias("n"))
+    weighed = words.join(idf, "term", "left").select("__line", "term", "n", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("w"))
+    norm = weighed.groupBy("__line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.max("n").alias("n"))
+    dots = weighed.join(known, "term").groupBy("__line", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norm, "__line").select("__line", "license", "n", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= LEAST)
+    best = cut(scored.groupBy("__line").agg(F.max_by(F.struct("license", "score"), F.struct("score", "license")).alias("b"), F.max("n").alias("n")), "license-best")
+    # a notice that is everywhere doesn't gather its lines in one task
+    return join_groups(lines.select(key, "__line"), best, "__line", "n").groupBy(key).agg(F.max_by("b", F.struct("b.score", "b.license")).alias("b")).select(key, "b.license", "b.score")
 
 
 def inherited(files: DataFrame) -> DataFrame:
