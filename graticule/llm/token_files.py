@@ -9,7 +9,7 @@ eight bytes of the dictionary's SHA-256 and the width of an id in a frame (2 or
 is read with three range reads (trailer, index, frame) and the shared dictionary, without touching its neighbours.
 
 Jobs: documents are encoded once into a scratch table; its ids and counts alone give the shards' bounds and starts; then the
-encoded documents are shuffled once, by shard.  Tasks write shards under temporary names and rename them, so a retried task
+encoded documents are shuffled once, a shard to a task.  Tasks write shards under temporary names and rename them, so a retried task
 leaves whole files only.
 
 A null text is empty; every document ends with the end id.  Null doc_ids sort first.  Rows with equal doc_ids are all
@@ -235,7 +235,7 @@ def write_files(encoded: DataFrame, folder: str) -> DataFrame:
     for r in totals:
         starts[r.part], before = before, before + r.n
     arrow_rows(spark, 500)
-    placed = encoded.repartition(max(1, len(starts)), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids").select("part", "doc_id", "ids")
+    placed = encoded.repartitionById(max(starts, default=0) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids").select("part", "doc_id", "ids")
     shards = placed.mapInArrow(_by_part(_written(folder, dictionary, starts)), "shard string, n_docs long")
     return cut(shards, "token-shards")
 
@@ -326,7 +326,9 @@ def read_files(shards: DataFrame, folder: str) -> DataFrame:
                     start, n, crc = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(e["doc_id"].astype(np.int64), mask=e["null"] != 0), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.repartition(max(1, shards.count()), "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    number = F.regexp_extract("shard", r"(\d+)", 1).cast("int")
+    last = shards.agg(F.max(number)).first()[0] or 0
+    return shards.repartitionById(last + 1, number).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:

@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import public_tokenizers
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graticule.llm import token_files
@@ -69,6 +70,23 @@ def test_short_document_access(spark, tmp_path):
     assert {i: x.tolist() for i, x in found.items()} == {i: ids_of(f"word{i} and others " * (i + 1)) for i in range(50)}
 
 
+def test_many_shards_with_repeated_and_null_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "PART_TOKENS", 60)
+    texts = [f"word{i} and others " * (i % 7) for i in range(200)]
+    ids = [None if i % 50 == 0 else i // 3 for i in range(200)]
+    folder = scratch_path(spark, "t")
+    encoded = token_files.tokenize(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), PATH, 2)
+    shards = token_files.write_files(encoded, folder)
+    assert shards.count() > 20
+    read = token_files.read_files(shards, folder).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in read}) == shards.count()  # a shard to a task
+    want, at = [], 0
+    for i, x in sorted(((i, ids_of(t)) for i, t in zip(ids, texts, strict=True)), key=lambda r: (r[0] is not None, r[0] or 0, token_files.packed(np.array(r[1], "<u4").tobytes()))):
+        want.append((i, at, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
+        at += len(x)
+    assert sorted((tuple(r)[:4] for r in read), key=str) == sorted(want, key=str)
+
+
 def test_wide_ids_round_trip():
     wide = np.array([1, 70000, 3], "<u4")
     assert token_files.unpacked(token_files.packed(wide.tobytes())).tolist() == wide.tolist()
