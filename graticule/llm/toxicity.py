@@ -7,7 +7,8 @@ share a stem), hashed to 64 bits; presence counts, not frequency.  The machine s
 
 whose pairwise part learns combinations, such as an insult together with a group's name, that no additive weight has.
 
-Training is bounded: at most ``PER_CLASS`` labelled rows of each class, chosen by hash; their ``TERMS`` most telling terms;
+Training is bounded: at most ``PER_CLASS`` labelled rows of each class, chosen by hash; their ``TERMS`` most telling terms, and
+up to ``PAIR_TERMS`` more from the pairs of their ``PAIRED`` commonest terms that tell more together than either does alone;
 full-batch Adam with weight decay and a fixed seed.  Scoring runs over every whole text.  Labels, language, source and id
 are never inputs.
 
@@ -37,6 +38,9 @@ PREFIXES = (3, 4, 5, 6)
 FILL, COMMON = 64, 0.2
 #: Texts that a term must occur in, and its evidence; terms of clean texts are many and each says little.
 LEAST, TOXIC_GAIN, CLEAN_GAIN = 3, 4, 12
+#: Terms whose pairs are tried, those learnt for them, texts that each must occur in, and the evidence of a pair beyond its
+#: terms' own: the logarithm of the number of pairs, so that chance passes about one of them.
+PAIRED, PAIR_TERMS, PAIR_LEAST, PAIR_GAIN = 4096, 256, 10, 16
 WORD = re.compile(r"[^\W_]+")
 REMEMBER = 500_000
 THRESHOLD = 0.7
@@ -82,11 +86,16 @@ class Machine:
         return 1 / (1 + math.exp(-z)) if z > -500 else 0.0
 
 
+def evidence(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Logarithm of the likelihood ratio of two rates against one, by counts of texts of either class."""
+    p, q, m = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1), (pos + neg + 1) / (n1 + n0 + 2)
+    return pos * np.log(p / m) + neg * np.log(q / m)
+
+
 def chosen(terms: np.ndarray, pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """The terms to learn, in order, from counts of texts of either class that hold each."""
-    # signed root of the likelihood ratio of the two rates
-    p, q, m = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1), (pos + neg + 1) / (n1 + n0 + 2)
-    gain = pos * np.log(p / m) + neg * np.log(q / m)
+    p, q = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
+    gain = evidence(pos, neg, n1, n0)
     gain[pos + neg < LEAST] = -1
     telling = np.flatnonzero(gain > np.where(p > q, TOXIC_GAIN, CLEAN_GAIN))
     best = telling[np.lexsort((terms[telling], -gain[telling]))[:TERMS]]
@@ -96,6 +105,39 @@ def chosen(terms: np.ndarray, pos: np.ndarray, neg: np.ndarray, n1: int, n0: int
     return np.sort(terms[best])
 
 
+def pairable(terms: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The commonest terms, in order, whose pairs are tried."""
+    often = np.flatnonzero(texts >= PAIR_LEAST)
+    return np.sort(terms[often[np.lexsort((terms[often], -texts[often]))[:PAIRED]]])
+
+
+def paired(terms: np.ndarray, held: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Of ``terms``, those of pairs that tell more than either term does; ``held``: the places of a text's terms.
+
+    Memory is bounded by the training rows and ``PAIRED``: the table of both, and strips of the pairs' counts.
+    """
+    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+    x1, x0 = np.zeros((n1, len(terms)), np.float32), np.zeros((n0, len(terms)), np.float32)
+    for x, kind in ((x1, 1), (x0, 0)):
+        for row, at in zip(x, np.flatnonzero(labels == kind), strict=True):
+            row[held[at]] = 1
+    alone = np.maximum(evidence(x1.sum(axis=0), x0.sum(axis=0), n1, n0), 0)
+    found = []
+    for low in range(0, len(terms), 256):
+        strip = slice(low, low + 256)
+        lift = evidence(x1[:, strip].T @ x1, x0[:, strip].T @ x0, n1, n0) - np.maximum(alone[strip, None], alone)
+        a, b = np.nonzero((lift > PAIR_GAIN) & (np.arange(low, low + len(lift))[:, None] < np.arange(len(terms))))
+        # so many pairs have more than PAIR_TERMS terms: no strip needs others than its best
+        best = np.lexsort((b, a, -lift[a, b]))[: PAIR_TERMS**2 // 2]
+        found.extend(zip(-lift[a, b][best], a[best] + low, b[best], strict=True))
+    kept: set[int] = set()
+    for _, a, b in sorted(found):
+        if len(kept | {a, b}) > PAIR_TERMS:
+            break
+        kept |= {a, b}
+    return terms[sorted(kept)]
+
+
 def fit(rows: list[tuple[np.ndarray, int]], terms: np.ndarray | None = None) -> Machine:
     """``rows``: (distinct term hashes, label); ``terms``: the sorted terms to learn, else ``chosen`` from the rows."""
     labels = np.array([y for _, y in rows], np.float64)
@@ -108,7 +150,9 @@ def fit(rows: list[tuple[np.ndarray, int]], terms: np.ndarray | None = None) ->
     if terms is None:
         terms, at = np.unique(every, return_inverse=True)
         counts = [np.bincount(at[labels[owner] == y], minlength=len(terms)) for y in (1, 0)]
-        terms = chosen(terms, *counts, n1, n0)
+        often = pairable(terms, counts[0] + counts[1])
+        held = [np.flatnonzero(np.isin(often, t)) for t, _ in rows]
+        terms = np.union1d(chosen(terms, *counts, n1, n0), paired(often, held, labels))
     best = terms
     column = np.searchsorted(best, every)
     use = column < len(best)
@@ -173,6 +217,18 @@ def train(docs: DataFrame, labels: DataFrame, learn_all: bool = False) -> Machin
     found = sorted({tuple(r) for part in (telling, common) for r in part.collect()})
     term, pos, neg = (np.array([r[i] for r in found], np.int64) for i in range(3))
     terms = chosen(term.view(np.uint64), pos.astype(np.float64), neg.astype(np.float64), n1, n0)
+    often = counts.where(both >= PAIR_LEAST).orderBy(both.desc(), "term").limit(PAIRED).select("term", both.alias("texts")).collect()
+    often = pairable(np.array([r.term for r in often], np.int64).view(np.uint64), np.array([r.texts for r in often], np.int64))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.flatnonzero(np.isin(often, np.array(t, np.int64).view(np.uint64))).astype(np.int16).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["toxic", "held"])
+
+    held = hashed.mapInArrow(places, "toxic int, held binary").collect()
+    pairs = paired(often, [np.frombuffer(bytes(r.held), np.int16) for r in held], np.array([r.toxic for r in held], np.float64))
+    terms = np.union1d(terms, pairs)
+    del held
     known = F.array(*[F.lit(int(t)) for t in terms.view(np.int64)]) if len(terms) else F.array().cast("array<long>")
     rows = hashed.select("toxic", F.array_sort(F.array_intersect("terms", known)).alias("terms")).collect()
     drop(hashed)

@@ -65,6 +65,51 @@ def test_pairs_are_learnt():
     assert right > 0.95 * len(rows)
 
 
+def pair_texts(n, seed):
+    """Toxic is an insult with a group's name; two insults or two names are clean, so each word alone is as frequent in both."""
+    random = np.random.default_rng(seed)
+    insults, groups, others = ["moron", "idiot", "scum"], ["alphans", "betans", "gammans"], [f"{c}{i}" for c in ("word", "term", "noun", "thing") for i in range(250)]
+    out = []
+    for _ in range(n):
+        toxic = int(random.random() < 0.35)
+        pick = insults if random.random() < 0.5 else groups
+        said = [str(random.choice(insults)), str(random.choice(groups))] if toxic else [str(w) for w in random.choice(pick, 2, False)]
+        words = [*said, *[str(w) for w in random.choice(others, 60)]]
+        random.shuffle(words)
+        out.append((" ".join(words), toxic))
+    return out
+
+
+def test_words_that_tell_only_together(spark, tmp_path):
+    """Such words are no learnt terms by themselves, their pairs make them so; held-out texts show that they are learnt."""
+    texts = pair_texts(2400, 4)
+    folder = documents(tmp_path, [t for t, _ in texts])
+    write_table(tmp_path, "labels", [{"doc_id": i, "quality": None, "toxic": y} for i, (_, y) in enumerate(texts)], LABELS)
+    rows = {r.doc_id: r for r in toxicity.op10_toxicity(spark, folder).collect()}
+    held = [(y, rows[i].predicted) for i, (_, y) in enumerate(texts) if rows[i].held_out]
+    toxic, clean = [p for y, p in held if y], [p for y, p in held if not y]
+    print(sum(toxic), len(toxic), sum(clean), len(clean))
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
+def test_pairs_against_counting_each():
+    random = np.random.default_rng(2)
+    labels = random.integers(0, 2, 300).astype(np.float64)
+    held = [np.flatnonzero(random.random(12) < 0.4) for _ in labels]
+    held = [np.union1d(h, [2, 9]) if y else np.setdiff1d(h, [2] if i % 2 else [9]) for i, (h, y) in enumerate(zip(held, labels, strict=True))]
+    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+
+    def gain(*places):
+        pos, neg = (sum(set(places) <= set(h.tolist()) for h, y in zip(held, labels, strict=True) if y == k) for k in (1, 0))
+        return float(toxicity.evidence(np.float64(pos), np.float64(neg), n1, n0))
+
+    pairs = {(a, b) for a in range(12) for b in range(a + 1, 12) if gain(a, b) - max(gain(a), gain(b), 0) > toxicity.PAIR_GAIN}
+    assert (2, 9) in pairs
+    terms = np.arange(100, 112).astype(np.uint64)
+    assert toxicity.paired(terms, held, labels).tolist() == sorted({100 + x for p in pairs for x in p})
+    assert toxicity.paired(terms[:0], [np.zeros(0, int)] * 300, labels).tolist() == []
+
+
 def plain_score(machine, text):
     """The machine's formula over a text's terms, pair by pair."""
     hashes = set()
