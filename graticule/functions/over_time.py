@@ -27,10 +27,15 @@ def _real() -> Column:
     return ~F.isnan("__v")
 
 
+def _order() -> Column:
+    """Sample times, doubled; of samples at one time, that whose predecessor is earlier (or missing) comes before the others."""
+    return _t() * 2 + F.when(F.col("__pt") == _t(), 1).otherwise(0)
+
+
 def _inner_sum(part: Column) -> Column:
     """Sum over a window's neighbouring pairs: all samples' parts but the first's, whose predecessor is outside."""
     part = F.coalesce(part, F.lit(0.0))
-    return F.sum(part) - F.min_by(part, _t())
+    return F.sum(part) - F.min_by(part, _order())
 
 
 @dataclass(frozen=True)
@@ -63,7 +68,7 @@ def _inner_panes(part: Callable[[], Column]) -> Panes:
         return F.coalesce(part(), F.lit(0.0))
 
     return Panes(
-        lambda _: {"__c": F.sum(filled()), "__fc": F.min_by(filled(), _t()), "__ft": F.min("__t")},
+        lambda _: {"__c": F.sum(filled()), "__fc": F.min_by(filled(), _order()), "__ft": F.min("__t")},
         lambda _: F.sum("__c") - F.min_by("__fc", "__ft"),
     )
 
@@ -93,16 +98,16 @@ def _extended(counter: bool, rate: bool, r: float, n: Column, e: Column, first_t
 
 def _extrapolated(counter: bool, rate: bool) -> Callable[[dict], Column]:
     def value(ctx: dict) -> Column:
-        resets = _inner_sum(_reset()) if counter else F.lit(0.0)
-        return _extended(counter, rate, float(ctx["range"]), F.count("*"), F.first("__at"), F.min("__t"), F.max("__t"), F.min_by("__v", "__t"), F.max_by("__v", "__t"), resets)
+        resets, order = (_inner_sum(_reset()), _t()) if counter else (F.lit(0.0), _t())
+        return _extended(counter, rate, float(ctx["range"]), F.count("*"), F.first("__at"), F.min("__t"), F.max("__t"), F.min_by(_v(), order), F.max_by("__v", "__t"), resets)
 
     return value
 
 
 def _extrapolated_panes(counter: bool, rate: bool) -> Panes:
     def states(_: dict) -> dict[str, Column]:
-        part = F.coalesce(_reset(), F.lit(0.0)) if counter else F.lit(0.0)
-        return {"__ft": F.min("__t"), "__lt": F.max("__t"), "__fv": F.min_by("__v", "__t"), "__lv": F.max_by("__v", "__t"), "__c": F.sum(part), "__fc": F.min_by(part, _t())}
+        part, order = (F.coalesce(_reset(), F.lit(0.0)), _t()) if counter else (F.lit(0.0), _t())
+        return {"__ft": F.min("__t"), "__lt": F.max("__t"), "__fv": F.min_by(_v(), order), "__lv": F.max_by("__v", "__t"), "__c": F.sum(part), "__fc": F.min_by(part, order)}
 
     def merged(ctx: dict) -> Column:
         resets = F.sum("__c") - F.min_by("__fc", "__ft") if counter else F.lit(0.0)

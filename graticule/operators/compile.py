@@ -175,8 +175,8 @@ class Compiler:
     @staticmethod
     def _with_previous(df: DataFrame, labels: list[str]) -> DataFrame:
         """Each series' samples with the one before; done before samples are repeated, so aggregations over windows find the
-        rows partitioned by series already."""
-        order = (Window.partitionBy(*labels) if labels else Window.partitionBy(F.lit(0))).orderBy(T)
+        rows partitioned by series already.  Samples at one time are taken in order of their values."""
+        order = (Window.partitionBy(*labels) if labels else Window.partitionBy(F.lit(0))).orderBy(T, V)
         return df.withColumn("__pt", F.lag(T).over(order)).withColumn("__pv", F.lag(V).over(order))
 
     def _placed(self, df: DataFrame, labels: list[str], on: Grid, span: int, offset: int, pinned: bool, g: Grid, previous: bool) -> Windowed:

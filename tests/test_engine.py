@@ -292,3 +292,22 @@ def test_patterns_mean_the_same_on_every_side(spark):
 def test_selectors_of_a_metadata_request_share_a_scan(engine):
     plan = engine.series_frame(['up{job="a",env="prod"}', 'up{job="b",env="prod"}'], 0, 600_000)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+@pytest.fixture(scope="module")
+def tied(spark):
+    """A counter that falls, with samples at one time right after: windows that begin there hold no fall."""
+    rows = [("c", "a", "", 0, 100.0), *[("c", "a", "", 60_000, 5.0)] * 3, ("c", "a", "", 120_000, 7.0)]
+    return Engine(spark, Catalog([Source("x", frame(spark, rows), {"env": "p"})]))
+
+
+def by_both_ways(engine, query):
+    """The value at 120 s of windows put together from panes and of a single window."""
+    found = {r.ts: r.value for r in engine.range_frame(query, 60_000, 180_000, 60_000).collect()}
+    assert math.isclose(found[120_000], one(engine, query, 120))
+    return found[120_000]
+
+
+@pytest.mark.parametrize("query, want", [("resets(c[2m])", 0), ("changes(c[2m])", 1), ("integral(c[2m])", 360)])
+def test_windows_that_begin_with_samples_at_one_time(tied, query, want):
+    assert by_both_ways(tied, query) == want
