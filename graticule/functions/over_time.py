@@ -98,7 +98,7 @@ def _extended(counter: bool, rate: bool, r: float, n: Column, e: Column, first_t
 
 def _extrapolated(counter: bool, rate: bool) -> Callable[[dict], Column]:
     def value(ctx: dict) -> Column:
-        resets, order = (_inner_sum(_reset()), _t()) if counter else (F.lit(0.0), _t())
+        resets, order = (_inner_sum(_reset()), _order()) if counter else (F.lit(0.0), _t())
         return _extended(counter, rate, float(ctx["range"]), F.count("*"), F.first("__at"), F.min("__t"), F.max("__t"), F.min_by(_v(), order), F.max_by("__v", "__t"), resets)
 
     return value
@@ -106,7 +106,7 @@ def _extrapolated(counter: bool, rate: bool) -> Callable[[dict], Column]:
 
 def _extrapolated_panes(counter: bool, rate: bool) -> Panes:
     def states(_: dict) -> dict[str, Column]:
-        part, order = (F.coalesce(_reset(), F.lit(0.0)), _t()) if counter else (F.lit(0.0), _t())
+        part, order = (F.coalesce(_reset(), F.lit(0.0)), _order()) if counter else (F.lit(0.0), _t())
         return {"__ft": F.min("__t"), "__lt": F.max("__t"), "__fv": F.min_by(_v(), order), "__lv": F.max_by("__v", "__t"), "__c": F.sum(part), "__fc": F.min_by(part, order)}
 
     def merged(ctx: dict) -> Column:
