@@ -316,3 +316,7 @@ def test_windows_that_begin_with_samples_at_one_time(tied, query, want):
 def test_rate_of_a_window_that_begins_with_samples_at_one_time(tied):
     # 2 more within 60 s, of which a mean interval of 20 s gives 10 s more at the start
     assert math.isclose(by_both_ways(tied, "rate(c[2m])"), 2 * 70 / 60 / 120)
+
+
+def test_increase_of_a_window_that_begins_with_samples_at_one_time(tied):
+    assert math.isclose(by_both_ways(tied, "increase(c[2m])"), 2 * 70 / 60)
