@@ -320,3 +320,7 @@ def test_rate_of_a_window_that_begins_with_samples_at_one_time(tied):
 
 def test_increase_of_a_window_that_begins_with_samples_at_one_time(tied):
     assert math.isclose(by_both_ways(tied, "increase(c[2m])"), 2 * 70 / 60)
+
+
+def test_sum_of_rates_of_windows_that_begin_with_samples_at_one_time(tied):
+    assert math.isclose(by_both_ways(tied, "sum by (env) (rate(c[2m]))"), 2 * 70 / 60 / 120)
