@@ -152,13 +152,18 @@ def quantile_agg(value: Column, q: float | Column) -> Column:
     return quantile_of(F.array_sort(F.collect_list(value)), F.first(q))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _median(values: Column) -> Column:
-    return quantile_of(F.array_sort(values), F.lit(0.5))
+    return _let(F.sort_array(values), lambda s: quantile_of(s, F.lit(0.5)))
 
 
 def _mad(_) -> Column:
     values = F.collect_list("__v")
-    return _median(F.transform(values, lambda x: F.abs(x - _median(values))))
+    return _let(_median(values), lambda middle: _median(F.transform(values, lambda x: F.abs(x - middle))))
 
 
 def _smoothed(ctx: dict) -> Column:

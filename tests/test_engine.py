@@ -1,6 +1,7 @@
 """Semantics on small data, against hand-computed values."""
 
 import math
+import statistics
 import threading
 
 import pytest
@@ -324,3 +325,11 @@ def test_increase_of_a_window_that_begins_with_samples_at_one_time(tied):
 
 def test_sum_of_rates_of_windows_that_begin_with_samples_at_one_time(tied):
     assert math.isclose(by_both_ways(tied, "sum by (env) (rate(c[2m]))"), 2 * 70 / 60 / 120)
+
+
+def test_median_deviation_of_a_long_window(spark):
+    """The median of a window is found once, not for each of its samples."""
+    rows = [("m", "a", "", t, float(t * 7919 % 20_011)) for t in range(1, 20_001)]
+    e = Engine(spark, Catalog([Source("x", frame(spark, rows), {"env": "p"})]), limits=Limits(seconds=60))
+    middle = statistics.median(r[4] for r in rows)
+    assert one(e, "mad_over_time(m[20s])", 20) == statistics.median(abs(r[4] - middle) for r in rows)
