@@ -74,13 +74,14 @@ class Index:
         tall = np.concatenate((exact * self.scale, np.sqrt(np.maximum(top - norms, 0))[:, None] * self.scale), axis=1)
         random = np.random.default_rng([SEED, d])
         self.lines = random.normal(size=(d + 1, LINES))
-        values = tall @ self.lines
-        rows = np.argsort(values, axis=0, kind="stable")
-        self.values = np.take_along_axis(values, rows, axis=0).T.copy()
+        self.values = np.ascontiguousarray((tall @ self.lines).T)
         places = np.empty((LINES, n), np.uint16 if n < 1 << 16 else np.uint32)
         for line in range(LINES):
-            places[line, rows[:, line]] = np.arange(n)
+            rows = np.argsort(self.values[line], kind="stable")
+            places[line, rows] = np.arange(n)
+            self.values[line] = self.values[line, rows]
         self.places = [np.ascontiguousarray(places[:, i : i + CHUNK]) for i in range(0, n, CHUNK)]
+        self.moved, self.inside = np.empty((LINES, CHUNK), places.dtype), np.empty((LINES, CHUNK), bool)  # work space
         self.sample = tall[random.integers(0, n, SAMPLE)]
         self.tall = tall
         self.first: dict[int, float] = {}
@@ -99,7 +100,9 @@ class Index:
         """Rows whose places lie in the windows [low, low + width) of at least ``NEED`` lines."""
         counts = []
         for places in self.places:
-            inside = (places - low[:, None]) < width[:, None]  # unsigned: places below wrap around
+            moved, inside = self.moved[:, : places.shape[1]], self.inside[:, : places.shape[1]]
+            np.subtract(places, low[:, None], out=moved)  # unsigned: places below wrap around
+            np.less(moved, width[:, None], out=inside)
             counts.append(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8))
         return np.flatnonzero(np.concatenate(counts) >= NEED)
 
