@@ -4,10 +4,14 @@ At a Jaccard similarity of 0.8 about 15 % of a fingerprint's bits differ, far mo
 cover.  So this form is probabilistic where ``simhash.components`` is exact:
 
 * fingerprints have 128 bits (similarity 0.8: 19 +- 4 bits differ; unrelated texts: 64 +- 6);
-* each of ``TABLES`` tables has partial references over ``KEY_BITS`` random bits; equal distances to all of them are the join
-  key.  A pair at 0.8 shares a key in some table with probability 0.95, at 0.85 with 0.99;
-* rows under a key are linked up to ``WIDEST`` differing bits, which an unrelated pair does once in 10^9; these links only
-  gather clusters of texts that may be alike;
+* each of ``TABLES`` tables has ``KEY_BITS`` partial references, the Walsh rows over as many random bits; equal distances to
+  all of them (which only equal bits have) are the join key.  A pair at 0.8 shares a key in some table with probability 0.95,
+  at 0.85 with 0.99;
+* rows under a key are discarded by pivots: a pair whose largest coordinate difference exceeds ``WIDEST`` differs in more bits
+  than that.  The references are all 128-bit words that choose, for each byte, one of the eight Walsh rows or its complement;
+  distances to them are sums over bytes, so the largest difference over all 16^16 is found from 8 distances a byte;
+* what is left is linked up to ``WIDEST`` differing bits, which an unrelated pair does once in 10^9; these links only gather
+  clusters of texts that may be alike;
 * fingerprints of few shingles are coarse: sets of up to ``FEW`` are linked exactly, by what is left without one shingle;
 * within a cluster every two texts are compared by their whole shingle sets, unless verified links join them already.
 
@@ -91,26 +95,61 @@ def _parts(shingles: np.ndarray) -> list[int] | None:
     return np.concatenate((np.array([whole], np.uint64), less)).view(np.int64).tolist()
 
 
+def walsh(n: int) -> np.ndarray:
+    """The rows of the Walsh matrix as bits, any two ``n / 2`` apart."""
+    rows = np.arange(n)
+    return (np.bitwise_count(rows[:, None] & rows[None, :]) & 1).astype(np.uint8)
+
+
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """Fingerprints (n, 2) -> (8, n, 16): the distances of each byte to its eight partial references."""
+    parts = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 16)
+    return np.stack([np.bitwise_count(parts ^ r) for r in np.packbits(walsh(8), axis=1).ravel()]).view(np.int8)
+
+
+def largest_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows of two pivot tables -> their largest coordinate difference over the references that bytes' references make up.
+
+    A complement's distance is 8 less the row's, so differences have either sign, and a sum's largest is the sum of each byte's.
+    """
+    most = np.abs(a[0] - b[0])
+    for x, y in zip(a[1:], b[1:], strict=True):
+        np.maximum(most, np.abs(x - y), out=most)
+    words = np.ascontiguousarray(most).view(np.uint64)
+    return ((words[:, 0] + words[:, 1]) * np.uint64(0x0101010101010101)) >> np.uint64(56)  # the sum of 16 bytes, 128 at most
+
+
+def _near(fp: np.ndarray, pivots: np.ndarray, left, right: np.ndarray) -> np.ndarray:
+    """Which pairs of rows are within ``WIDEST`` bits (``left``: rows or one row): by pivots first, then by the bits."""
+    near = largest_difference(pivots[:, left] if np.ndim(left) else pivots[:, left][:, None], pivots[:, right]) <= WIDEST
+    at = np.flatnonzero(near)
+    near[at] = _gap(fp[left[at] if np.ndim(left) else left], fp[right[at]]) <= WIDEST
+    return near
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each table: the packed distances to its partial references, as one number with the table's."""
+    """A row for each table: the distances to its partial references, hashed to one number with the table's."""
     random = np.random.default_rng(SEED)
     chosen = [np.sort(random.choice(128, KEY_BITS, replace=False)) for _ in range(TABLES)]
-    weights = (1 << np.arange(KEY_BITS)).astype(np.int64)
+    signs = 1 - 2 * walsh(KEY_BITS).T.astype(np.float32)
+    weights = random.integers(-(1 << 63), 1 << 63, (TABLES, KEY_BITS))
     for batch in batches:
         node, hi, lo = (batch.column(i).to_numpy() for i in range(3))
         bits = np.unpackbits(np.stack((hi, lo), axis=1).astype(">i8").view(np.uint8).reshape(-1, 16), axis=1)
         for i in range(0, TABLES, 8):
-            keys = np.concatenate([(t << KEY_BITS) + bits[:, chosen[t]] @ weights for t in range(i, i + 8)])
+            far = [((KEY_BITS - (1 - 2 * bits[:, chosen[t]].astype(np.float32)) @ signs) / 2).astype(np.int64) for t in range(i, i + 8)]
+            keys = np.concatenate([x @ weights[t] for t, x in enumerate(far, i)])
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.tile(x, 8)) for x in (node, hi, lo))], ["key", "node", "hi", "lo"])
 
 
 def _bit_forest(node: np.ndarray, fp: np.ndarray) -> tuple[list[int], list[int]]:
     rest, u, v = np.arange(len(node)), [], []
+    pivots = pivot_table(fp)
     while len(rest):
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
             hub, front = front[0], front[1:]
-            near = _gap(fp[hub], fp[rest]) <= WIDEST
+            near = _near(fp, pivots, hub, rest)
             u += [int(node[hub])] * int(near.sum())
             v += node[rest[near]].tolist()
             front, rest = np.concatenate((front, rest[near])), rest[~near]
@@ -147,12 +186,13 @@ def _paired(most: int | None):
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(rows) else np.zeros(0, np.int64)
         sizes = np.diff(np.concatenate((starts, [len(rows)])))
         small = rows[np.repeat((sizes > 1) & (sizes <= SMALL), sizes)] if len(rows) else rows
-        fp = small[:, 2:].view(np.uint64)
+        fp = np.ascontiguousarray(small[:, 2:]).view(np.uint64)
+        pivots = pivot_table(fp)
         for step in range(1, SMALL):
             at = np.flatnonzero(small[step:, 0] == small[:-step, 0])
             if not len(at):
                 break
-            at = at[_gap(fp[at], fp[at + step]) <= WIDEST]
+            at = at[_near(fp, pivots, at, at + step)]
             us.append(small[at, 1])
             vs.append(small[at + step, 1])
         for a, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):

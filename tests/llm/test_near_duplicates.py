@@ -96,3 +96,53 @@ def test_long_texts_are_decided_exactly(spark, tmp_path):
     gone = set(range(80)) - kept(spark, documents(tmp_path, texts))
     print(len(gone & near), len(near), len(gone - near))
     assert gone <= near and len(gone) >= 18
+
+
+def test_pivots_discard_unrelated_pairs_and_no_near_one():
+    """Largest coordinate differences never exceed the bits that differ, and pass few unrelated pairs."""
+    random = np.random.default_rng(7)
+    a = random.integers(0, 1 << 64, (5000, 2), np.uint64)
+    b = a.copy()
+    for _ in range(near_duplicates.WIDEST):  # up to so many bits differ
+        bit = random.integers(0, 128, len(b))
+        b[np.arange(len(b)), bit // 64] ^= np.uint64(1) << (bit % 64).astype(np.uint64)
+    table = near_duplicates.pivot_table
+    assert (near_duplicates.largest_difference(table(a), table(b)) <= near_duplicates._gap(a, b)).all()
+    far = near_duplicates.largest_difference(table(a), table(a[::-1]))
+    assert (far <= near_duplicates._gap(a, a[::-1])).all()
+    print("unrelated pairs left", (far <= near_duplicates.WIDEST).mean())
+    assert (far <= near_duplicates.WIDEST).mean() < 0.05
+    assert not (near_duplicates.largest_difference(table(a[:9]), table(a[:9]))).any()
+    # the largest difference over references that are written out
+    rows = np.packbits(near_duplicates.walsh(8), axis=1).ravel()
+    for x, y in zip(a[:20].view(np.uint8).reshape(-1, 16), b[:20].view(np.uint8).reshape(-1, 16), strict=True):
+        gaps = [[int(np.bitwise_count(p ^ r)) - int(np.bitwise_count(q ^ r)) for r in [*rows, *~rows]] for p, q in zip(x, y, strict=True)]
+        both = [np.array([x]).view(np.uint64), np.array([y]).view(np.uint64)]
+        assert near_duplicates.largest_difference(*map(table, both)).tolist() == [sum(map(max, gaps))]
+
+
+def test_every_bit_link_passes_the_pivots(monkeypatch):
+    """Small keys and crowded ones: no pair is linked that the pivots discard."""
+    node = np.arange(60)
+    key = np.where(node < 10, 1, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(np.zeros(60, np.int64)), pa.array(node)], ["key", "node", "hi", "lo"])
+    assert sorted(pa.Table.from_batches(near_duplicates._paired(None)([batch])).to_pydict()["v"]) == [*range(1, 10), *range(11, 60)]
+    monkeypatch.setattr(near_duplicates, "largest_difference", lambda a, b: np.full(max(a.shape[1], b.shape[1]), 128))
+    assert pa.Table.from_batches(near_duplicates._paired(None)([batch])).num_rows == 0
+
+
+def test_keys_are_distances_to_partial_references():
+    """Equal keys of a table: equal distances to all its partial references, which only equal bits have."""
+    near = np.arange(1 << 16, dtype=np.uint16)
+    bits = np.unpackbits(near.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)
+    far = (bits[:, None, :] ^ near_duplicates.walsh(16)[None]).sum(axis=2)
+    assert len(np.unique(far, axis=0)) == 1 << 16
+    random = np.random.default_rng(8)
+    hi, lo = (random.integers(-(1 << 63), 1 << 63, 3000) for _ in range(2))
+    hi[1500:], lo[1500:] = hi[:1500], lo[:1500]
+    lo[1500:] ^= 1 << random.integers(0, 60, 1500)  # one bit apart
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(hi), pa.array(lo)], ["node", "hi", "lo"])
+    keys = np.concatenate([b.column(0).to_numpy().reshape(8, 3000) for b in near_duplicates._keyed([batch])])
+    assert len(keys) == near_duplicates.TABLES and len(np.unique(keys, axis=0)) == len(keys)
+    same = keys[:, :1500] == keys[:, 1500:]
+    assert same.any(axis=0).all() and 0.8 < same.mean() < 0.95  # a table sees 16 of 128 bits
