@@ -89,10 +89,10 @@ def _extended(counter: bool, rate: bool, r: float, n: Column, e: Column, first_t
     to_start, to_end = (first_t - (e - F.lit(r))) / 1000.0, (e - last_t) / 1000.0
     to_start = F.when(to_start >= mean * 1.1, mean / 2).otherwise(to_start)
     if counter:
-        zero = span * divide(first_v, d)
+        zero = divide(span * first_v, d)
         to_start = F.when((d > 0) & (first_v >= 0) & (zero < to_start), zero).otherwise(to_start)
     to_end = F.when(to_end >= mean * 1.1, mean / 2).otherwise(to_end)
-    out = d * divide(span + to_start + to_end, span)
+    out = divide(d * (span + to_start + to_end), span)
     return out / (r / 1000.0) if rate else out
 
 

@@ -333,3 +333,9 @@ def test_median_deviation_of_a_long_window(spark):
     e = Engine(spark, Catalog([Source("x", frame(spark, rows), {"env": "p"})]), limits=Limits(seconds=60))
     middle = statistics.median(r[4] for r in rows)
     assert one(e, "mad_over_time(m[20s])", 20) == statistics.median(abs(r[4] - middle) for r in rows)
+
+
+def test_increase_multiplies_before_it_divides(spark):
+    """As its SQL does: 3 more within 100 s, extended by 10 s at either edge, without the rounding of 120 / 100."""
+    rows = [("c", "a", "", t, v) for t, v in ((10_000, 100.0), (60_000, 101.0), (110_000, 103.0))]
+    assert one(Engine(spark, Catalog([Source("x", frame(spark, rows), {"env": "p"})])), "increase(c[2m])", 120) == 3.6
